@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .exact_dedup import exact_groups
+from .mixing import mix_plan
 from .ngram_jaccard import jaccard_classes
+from .secrets import listed, secret_spans
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +21,43 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_documents(spark, sf_dir), width=5, percent=80)
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_documents(spark, sf_dir), digest=True)
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(_documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return plan.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).cast("long").alias("taken"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(_documents(spark, sf_dir).select("doc_id", "text"))
+    of = lambda k: F.size(F.filter("spans", lambda x: x["rank"] == k)).cast("long")
+    base = listed(F.filter("spans", lambda x: x["rank"] < 3))
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_exact_dedup": op4_exact_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_mix_sources": op7_mix_sources,
+    "op9_secret_scan": op9_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
+        g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.norm) AS text_sha256 FROM t JOIN g ON t.norm = g.norm""",
+    "op7_mix_sources": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+        f AS (SELECT *, 1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+              sum(weight) OVER (ORDER BY 2 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM w),
+        l AS (SELECT min_by(rest / weights, 2 * source_size / weight) AS level FROM f WHERE rest / weights * weight < 2 * source_size),
+        r AS (SELECT source, source_size, least(2 * source_size, coalesce(level * weight, 2 * source_size)) AS target FROM w, l)
+        SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+               (size * (floor(target / source_size) + (('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < target / source_size - floor(target / source_size))::INT))::BIGINT AS taken
+        FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
+}
