@@ -20,8 +20,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
-# The alphabet of candidate tokens.
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+# The alphabet of the models; capitals count as small letters.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]{%d,}+"
 LEAST_TOKEN = 20
 THRESHOLD = 0.8
@@ -66,7 +66,7 @@ def _cut(text: Column, span: Column, whole: bool = True) -> Column:
 
 def _transitions(samples: DataFrame) -> DataFrame:
     """(label, pair, n): how often two characters of ALPHABET follow each other in the samples of a label."""
-    chars = F.split("sample", "")
+    chars = F.split(F.lower("sample"), "")
     pairs = F.zip_with(F.slice(chars, 1, F.length("sample") - 1), F.slice(chars, 2, F.length("sample") - 1), lambda a, b: F.concat(a, b))
     return samples.where(F.length("sample") > 1).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
 
@@ -81,7 +81,7 @@ def train(found: DataFrame, text: str = "text", spans: str = "base") -> list[flo
     hits = found.where(F.size(spans) > 0)
     values = hits.select(F.lit(1).alias("label"), F.explode(F.transform(F.col(spans), lambda x: _cut(F.col(text), x, whole=False))).alias("sample"))
     words = hits.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|[0-9a-f]{{{LEAST_HEX},}}+", " "), F.lit("[A-Za-z0-9_]{4,}+"), F.lit(0))).alias("sample"))
-    counts = {(label, pair): n for label, pair, n in _transitions(values.unionByName(words)).where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).collect()}
+    counts = {(label, pair): n for label, pair, n in _transitions(values.unionByName(words)).where(F.col("pair").rlike(r"^[a-z0-9+/_=-]{2}$")).collect()}
     if not any(label for label, _ in counts) or all(label for label, _ in counts):
         return None
     ratios = [0.0] * (128 * 128)
@@ -96,7 +96,7 @@ def train(found: DataFrame, text: str = "text", spans: str = "base") -> list[flo
 def _ratio(token: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of the token's transitions."""
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded to one literal of 128 x 128 numbers
-    codes = F.transform(F.split(token, ""), F.ascii)
+    codes = F.transform(F.split(F.lower(token), ""), F.ascii)
     n = F.length(token) - 1
     terms = F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), lambda a, b: F.get(table, a * 128 + b))
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / n
