@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .line_dedup import dedup_lines
 from .mixing import mix_plan
 from .ngram_jaccard import jaccard_classes
 from .secrets import listed, secret_spans
+from .sentencepiece_codec import decoded, encoded
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +25,22 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_documents(spark, sf_dir), width=5, percent=80)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = encoded(_documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER)
+    back = decoded(ids, TOKENIZER)
+    same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir), digest=True)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("lines.total").cast("long").alias("n_lines"), F.col("lines.dropped").cast("long").alias("n_dropped"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(_documents(spark, sf_dir).select("doc_id", "text", "source"))
     return plan.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).cast("long").alias("taken"))
@@ -38,8 +54,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_line_dedup": op6_line_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_secret_scan": op9_secret_scan,
 }
