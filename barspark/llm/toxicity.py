@@ -31,7 +31,9 @@ MOST_CANDIDATES, MOST_WORDS = 2000, 16000
 LANDMARKS_TOXIC, LANDMARKS_OTHER = 192, 64
 LEAST_COVER, LEAST_PART, LEAST_Z, LEAST_HEADS, LEAST_RATIO = 3, 0.05, 5.0, 0.6, 50
 MINED_ROUNDS, MINED_WORDS = 3, 2000
-WINDOW = 16
+WINDOW = 17  # with the mark
+MARK = 1  # stands before each word
+INNER = "\0"  # put before a part of a word that has no mark
 DECAY = 0.7
 BITS = 15
 STEPS = [(a, b) for b in range(2, 6) for a in range(1, b)]  # second and third character of a subsequence, after the first
@@ -54,7 +56,9 @@ def _letters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     joined = np.zeros(len(starts), bool)
     joined[1:] = alone[1:] & alone[:-1] & (row[starts[1:]] == row[starts[:-1]])
     fresh[starts[joined]] = False
-    return letters, np.cumsum(fresh) - 1, row
+    starts = np.flatnonzero(fresh)
+    unit = np.cumsum(fresh) - 1
+    return np.insert(letters, starts, MARK), np.insert(unit, starts, unit[starts]), np.insert(row, starts, row[starts])
 
 
 def _subsequences(letters: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -69,10 +73,14 @@ def _subsequences(letters: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.nd
 
 
 def _joined(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [w.encode()[:WINDOW] for w in words]
+    raw = [bytes([MARK]) + w.encode()[: WINDOW - 1] if not w.startswith(INNER) else w[1:].encode()[:WINDOW] for w in words]
     return np.frombuffer(b"".join(raw), np.uint8), np.repeat(np.arange(len(raw)), [len(r) for r in raw])
 
 
+def _lengths(words: list[str]) -> np.ndarray:
+    return np.array([len(w.encode()) + (not w.startswith(INNER)) - w.startswith(INNER) for w in words])
+
+
 def _products(words: list[str], table: np.ndarray) -> np.ndarray:
     """Normalised subsequence vectors of the words, times a table with a row for each subsequence."""
     out = np.zeros((len(words), table.shape[1]), np.float32)
@@ -84,7 +92,7 @@ def _products(words: list[str], table: np.ndarray) -> np.ndarray:
                 own = unit[at]
                 starts = np.flatnonzero(np.diff(own, prepend=-1))
                 out[first + own[starts]] += np.add.reduceat(table[sub], starts, axis=0) * np.float32(weight)
-    return out / _NORMS[np.minimum(WINDOW, [max(1, len(w.encode())) for w in words])][:, None]
+    return out / _NORMS[np.minimum(WINDOW, np.maximum(1, _lengths(words)))][:, None]
 
 
 def _vectors(words: list[str]) -> np.ndarray:
@@ -92,7 +100,7 @@ def _vectors(words: list[str]) -> np.ndarray:
     letters, unit = _joined(words)
     for at, sub, weight in _subsequences(letters, unit):
         np.add.at(out, (sub, unit[at]), weight)
-    return out / _NORMS[np.minimum(WINDOW, [max(1, len(w.encode())) for w in words])][None, :]
+    return out / _NORMS[np.minimum(WINDOW, np.maximum(1, _lengths(words)))][None, :]
 
 
 @dataclass
@@ -205,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         if turn < MINED_ROUNDS:  # words of the other texts that come out highest join the next round
             mined = counts.where((F.col("m") > 0) & ~F.col("word").isin(bad)).select("word", "word").toDF("name", "word").mapInArrow(_worst(model, "name"), "name string, worst double")
             found = [r[0] for r in mined.orderBy(F.desc("worst"), "name").limit(MINED_WORDS).collect()]
-            new = sorted({x[k : k + WINDOW] for x in found for k in range(max(1, len(x) - WINDOW + 1))} - set(bad) - set(good))
+            new = sorted({(INNER if k else "") + x[k : k + WINDOW] for x in found for k in range(max(1, len(x) - WINDOW + 1))} - set(bad) - set(good))
             good += new
             features = np.vstack([features, _products(new, base) @ root]) if new else features
 
@@ -240,3 +248,17 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known.value.score(known.value.worst(batch.column(1))))], names=["doc_id", "score"])
 
     return texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs` whose text scores below `threshold`, with their columns. Without a model all rows stay."""
+    if model is None:
+        return docs
+    known = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known.value.score(known.value.worst(batch.column(at))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
