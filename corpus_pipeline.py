@@ -6,10 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barspark.llm import toxicity
+from barspark.llm.line_dedup import dedup_lines
+from barspark.llm.mixing import mixed
+from barspark.llm.ngram_jaccard import jaccard_classes
+from barspark.llm.queries import TOKENIZER
+from barspark.llm.sentencepiece_codec import encoded
 from barspark.llm.store import written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, trained on all labels, scores below 0.7."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, model)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without lines that stand earlier already."""
+    return dedup_lines(docs).drop("lines")
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest doc_id; all documents that have no partner."""
+    others = jaccard_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
+def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate has it."""
+    return mixed(docs)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source and piece ids of each copy."""
+    return encoded(docs.select("doc_id", "source", "text"), TOKENIZER).drop("text")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("ngram_jaccard_join", one_of_each_class),
+    ("mixing", to_weights),
+    ("sentencepiece", to_pieces),
+]
+
+#: Trained models and tokenizers can't be expressed in SQL; tests compare with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
