@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import ngram_lm, toxicity
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
@@ -69,6 +69,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    out = ngram_lm.scored(docs, ngram_lm.train(docs.where(_part(7) != 2)))
+    return out.select("doc_id", (_part(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_secret_scan": op9_secret_scan,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
