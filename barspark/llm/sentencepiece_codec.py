@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_CHARS = 1 << 21
 CACHED_WORDS = 200_000
@@ -221,15 +223,10 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", ids: str = "id
     empty texts have no ids. Rows that repeat give the same ids each; an empty table gives an empty table; other columns
     stay, and one that is named like `ids` is replaced.
     """
-    from pyspark.sql import functions as F
-
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(Vocabulary.load(model_path))  # as large as the model's file, whatever the input
-    kept = docs.drop(ids).withColumn("_text", F.col(text).cast("string")) if "_text" not in docs.columns else docs.drop(ids)
-    source = kept.columns.index("_text") if "_text" in kept.columns else kept.columns.index(text)
-    columns = [c for c in docs.columns if c != ids]
-    schema = docs.drop(ids).schema
-    out_schema = type(schema)([*schema.fields]).add(ids, "array<int>")
+    known = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))  # as large as the model's file, whatever the input
+    kept = docs.select(*[docs[c] for c in docs.columns if c != ids])
+    columns, source = kept.columns, kept.columns.index(text)
+    out_schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(known.value)
@@ -256,7 +253,7 @@ def decoded(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "dec
     known = spark.sparkContext.broadcast([*vocabulary.texts, b""])
     kept = docs.drop(text)
     columns, at = kept.columns, kept.columns.index(ids)
-    out_schema = type(kept.schema)([*kept.schema.fields]).add(text, "string")
+    out_schema = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = known.value
