@@ -15,7 +15,7 @@ GRADES = (("STRONG", 2.0), ("VALID", 1.5), ("WEAK", 1.25))
 def close_near_extreme(high: Column, low: Column, close: Column, direction: Column, most: float) -> Column:
     """Whether the close is within `most` of the range from the directional extreme."""
     gap = F.when(direction == "bullish", high - close).otherwise(close - low)
-    return (high > low) & (gap / (high - low) <= most)
+    return (high > low) & (F.try_divide(gap, high - low) <= most)
 
 
 def grade(atr_multiple: Column) -> Column:

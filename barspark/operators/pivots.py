@@ -23,11 +23,10 @@ def swings(bars: DataFrame, n: int, cap: int, pip: float) -> DataFrame:
         "_whole": whole, "_hl": F.max("high").over(left), "_hr": F.max("high").over(right), "_ll": F.min("low").over(left), "_lr": F.min("low").over(right),
         "_highs": F.collect_list("high").over(later), "_lows": F.collect_list("low").over(later),
     })
-    for side, price, is_pivot, list_, passed in (
-        ("high", "high", (F.col("high") >= F.col("_hl")) & (F.col("high") > F.col("_hr")), "_highs", lambda x, p: x > p),
-        ("low", "low", (F.col("low") <= F.col("_ll")) & (F.col("low") < F.col("_lr")), "_lows", lambda x, p: x < p),
+    for side, price, is_pivot, list_, over in (
+        ("high", "high", (F.col("high") >= F.col("_hl")) & (F.col("high") > F.col("_hr")), "_highs", F.transform("_highs", lambda x: x > F.col("high"))),
+        ("low", "low", (F.col("low") <= F.col("_ll")) & (F.col("low") < F.col("_lr")), "_lows", F.transform("_lows", lambda x: x < F.col("low"))),
     ):
-        over = F.transform(F.col(list_), lambda x, passed=passed, price=price: passed(x, F.col(price)))
         at = F.array_position(over, True)
         strength = F.when(at > 0, at - 1).otherwise(F.size(list_)).cast("int")
         sides.append(F.when(is_pivot, F.struct(F.lit(side).alias("side"), F.col(price).alias("price"), strength.alias("strength"))))
