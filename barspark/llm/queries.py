@@ -14,6 +14,7 @@ from .mixing import mix_plan
 from .ngram_jaccard import jaccard_classes
 from .secrets import listed, secret_spans
 from .sentencepiece_codec import decoded, encoded
+from .topk_search import top_k
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -67,6 +68,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).cast("long").alias("taken"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return top_k(docs, docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), k=10)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(_documents(spark, sf_dir).select("doc_id", "text"))
     of = lambda k: F.size(F.filter("spans", lambda x: x["rank"] == k)).cast("long")
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_topk_search": op8_topk_search,
     "op9_secret_scan": op9_secret_scan,
     "op10_lm_score": op10_lm_score,
 }
