@@ -77,3 +77,39 @@ def scores(labels: DataFrame, *by: str) -> DataFrame:
 def outliers(weekly: DataFrame, stats: DataFrame, *by: str) -> DataFrame:
     """Weeks more than two deviations from the mean."""
     return weekly.join(stats, [*by]).where(F.abs(F.col("n") - F.col("mean")) > 2 * F.col("std"))
+
+
+def gap_matrix(gaps: DataFrame, thresholds: tuple[float, ...], *by: str) -> DataFrame:
+    """Per threshold: gaps at least that large, of either direction, and the upper median of their sizes."""
+    each = gaps.select(*by, "direction", "gap_pips", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).where("gap_pips >= threshold")
+    sizes = F.sort_array(F.collect_list("gap_pips"))
+    return each.groupBy(*by, "threshold").agg(F.count("*").alias("n"), F.count_if(F.col("direction") == "bullish").alias("bull"), F.count_if(F.col("direction") == "bearish").alias("bear"), F.element_at(sizes, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"))
+
+
+def swing_matrix(swings: DataFrame, thresholds: tuple[int, ...], *by: str) -> DataFrame:
+    """Per least strength: pivots, highs, lows and mean strength."""
+    each = swings.select(*by, "side", "strength", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).where("strength >= threshold")
+    return each.groupBy(*by, "threshold").agg(F.count("*").alias("n"), F.count_if(F.col("side") == "high").alias("highs"), F.count_if(F.col("side") == "low").alias("lows"), F.round(F.avg("strength"), 4).alias("mean_strength"))
+
+
+def walk_forward(dets: DataFrame, windows: DataFrame, most_pct: float, *by: str) -> DataFrame:
+    """Detections of each window's train and test days (window_index, train_start, train_end, test_start, test_end; ends included).
+
+    Days are counted first, so the join with the windows sees one row for each day. Windows without detections in either
+    part are left out; the change is null where the train part has none, which passes.
+    """
+    days = dets.groupBy(*by, "forex_day").agg(F.count("*").alias("n"))
+    met = days.join(F.broadcast(windows), F.col("forex_day").between(F.col("train_start"), F.col("test_end")))
+    inside = lambda part: F.coalesce(F.sum(F.when(F.col("forex_day").between(F.col(f"{part}_start"), F.col(f"{part}_end")), F.col("n"))), F.lit(0))
+    out = met.groupBy(*by, "window_index").agg(inside("train").alias("train_metric"), inside("test").alias("test_metric"))
+    change = F.when(F.col("train_metric") != 0, F.round((F.col("test_metric") - F.col("train_metric")) * 100.0 / F.nullif("train_metric", F.lit(0)), 2))
+    return out.withColumns({"delta": F.col("test_metric") - F.col("train_metric"), "delta_pct": change}).withColumn("passed", F.coalesce(F.abs("delta_pct") <= most_pct, F.lit(True)))
+
+
+def rolling_windows(days: DataFrame, train: int, test: int, step: int) -> DataFrame:
+    """Windows of `train` and then `test` days, every `step` days, over the range of `days` (forex_day); one row for each window."""
+    ends = days.agg(F.min("forex_day").alias("a"), F.max("forex_day").alias("b"))
+    start = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.datediff("b", "a") - train - test + 1), F.lit(step))).alias("k")
+    w = ends.where("a is not null").select("a", start)
+    day = lambda n: F.date_add("a", F.col("k") + n)
+    return w.select((F.col("k") / step).cast("int").alias("window_index"), day(0).alias("train_start"), day(train - 1).alias("train_end"), day(train).alias("test_start"), day(train + test - 1).alias("test_end"))

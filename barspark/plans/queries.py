@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
-from ..operators import gaps, pivots, sessions, structure
+from ..operators import gaps, pivots, sessions, shift, structure
 from ..operators.displacement import displacement_matrix as matrix
 from ..operators.displacement import displacements
 from ..sources.bars import available_range, integrity
@@ -165,6 +165,36 @@ def compared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.compared(_gap_detections(spark, sf_dir, 5.0), _gap_detections(spark, sf_dir, 20.0), "symbol")
 
 
+def gap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gaps.fair_value_gaps(prepared(spark, sf_dir), TF, PIP, states=False)
+    return _text(E.gap_matrix(g, (1.0, 5.0, 20.0), "symbol", "forex_day"))
+
+
+def swing_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.swing_matrix(_swings(spark, sf_dir), (0, 5, 10), "symbol")
+
+
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dets = _gap_detections(spark, sf_dir, 0.0)
+    windows = E.rolling_windows(dets.select("forex_day"), 10, 5, 5)
+    return E.walk_forward(dets, windows, 20.0, "symbol")
+
+
+def structure_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = B.with_atr(prepared(spark, sf_dir))
+    d = displacements(b, PIP).where("(atr_exact >= 1.5 AND body_exact >= 0.6) OR decisive")
+    return shift.structure_shifts(b, _swings(spark, sf_dir), d, PIP).drop("tf")
+
+
+def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = B.with_atr(prepared(spark, sf_dir))
+    d = displacements(b, PIP).where("(atr_exact >= 1.5 AND body_exact >= 0.6) OR decisive")
+    s = _swings(spark, sf_dir)
+    mss = shift.structure_shifts(b, s, d, PIP)
+    parts = [x.select("symbol", "tf", F.lit(n).alias("primitive")) for x, n in ((d, "displacement"), (s, "swing"), (mss, "mss"))]
+    return E.funnel(parts[0].unionByName(parts[1]).unionByName(parts[2])).drop("tf")
+
+
 def bar_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     return _text(integrity(b).join(available_range(b), "symbol"))
@@ -251,6 +281,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session_distribution": session_distribution,
     "weekly_stats": weekly_stats,
     "compared_runs": compared_runs,
+    "gap_matrix": gap_matrix,
+    "swing_matrix": swing_matrix,
+    "walk_forward": walk_forward,
+    "structure_shifts": structure_shifts,
+    "funnel": funnel,
     "bar_integrity": bar_integrity,
 }
 
@@ -314,5 +349,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT symbol, count(*) AS weeks, round(avg(n), 4) AS mean, round(stddev_samp(n), 4) AS std, min(n) AS least, max(n) AS most, strftime(first(week ORDER BY n, week), '%Y-%m-%d') AS least_week, count(*) FILTER (n = 0) AS zero_weeks, round(stddev_samp(n) / avg(n), 4) AS cv FROM k GROUP BY symbol""",
     "compared_runs": f"""WITH {_DETS} SELECT symbol, count(*) FILTER (gap >= 5) AS rows_a, count(*) FILTER (gap >= 20) AS rows_b, count(DISTINCT id) FILTER (gap >= 20) AS agreed, count(DISTINCT id) FILTER (gap >= 5) - count(DISTINCT id) FILTER (gap >= 20) AS only_a, 0::BIGINT AS only_b,
         round(count(DISTINCT id) FILTER (gap >= 20)::DOUBLE / count(DISTINCT id) FILTER (gap >= 5), 4) AS agreement FROM d WHERE gap >= 5 GROUP BY symbol""",
+    "gap_matrix": f"""WITH {_DETS}, x AS (SELECT d.*, t::DOUBLE AS threshold FROM d, (SELECT unnest([1.0, 5.0, 20.0]) AS t) WHERE gap >= t) SELECT symbol, strftime(day, '%Y-%m-%d') AS forex_day, threshold, count(*) AS n, count(*) FILTER (direction = 'bullish') AS bull, count(*) FILTER (direction = 'bearish') AS bear,
+        list_sort(list(gap))[count(*) // 2 + 1] AS median FROM x GROUP BY symbol, day, threshold""",
+    "swing_matrix": f"""WITH {_SWINGS}, v AS (SELECT s.symbol, s.i, s.side, min(p.i) AS at_bar FROM s JOIN p ON p.symbol = s.symbol AND p.i > s.i + 2 AND p.i <= s.i + 22 AND CASE s.side WHEN 'high' THEN p.high > s.price ELSE p.low < s.price END GROUP BY ALL),
+        g AS (SELECT s.symbol, s.side, coalesce(v.at_bar - s.i - 3, least(20, s.n - 1 - s.i - 2)) AS strength FROM s LEFT JOIN v ON v.symbol = s.symbol AND v.i = s.i AND v.side = s.side)
+        SELECT symbol, t AS threshold, count(*) AS n, count(*) FILTER (side = 'high') AS highs, count(*) FILTER (side = 'low') AS lows, round(avg(strength), 4) AS mean_strength FROM g, (SELECT unnest([0, 5, 10]) AS t) WHERE strength >= t GROUP BY ALL""",
+    "walk_forward": f"""WITH {_DETS}, m AS (SELECT min(day) AS a, max(day) AS b FROM d), w AS (SELECT a, unnest(range(0, greatest(1, date_diff('day', a, b) - 13), 5)) AS k FROM m),
+        x AS (SELECT d.symbol, (w.k // 5)::INT AS window_index, count(*) FILTER (d.day < w.a + w.k::INT + 10) AS train_metric, count(*) FILTER (d.day >= w.a + w.k::INT + 10) AS test_metric FROM d JOIN w ON d.day >= w.a + w.k::INT AND d.day <= w.a + w.k::INT + 14 GROUP BY ALL)
+        SELECT symbol, window_index, train_metric, test_metric, test_metric - train_metric AS delta, CASE WHEN train_metric <> 0 THEN round((test_metric - train_metric) * 100.0::DOUBLE / train_metric, 2) END AS delta_pct,
+        coalesce(abs(round((test_metric - train_metric) * 100.0::DOUBLE / nullif(train_metric, 0), 2)) <= 20, TRUE) AS passed FROM x""",
     "bar_integrity": f"WITH {_BARS} SELECT symbol, count(*) AS bar_count, 0::BIGINT AS ghost_count, greatest(0, count(DISTINCT ts::DATE) * 1440 - count(*)) AS gap_count, strftime(min(ts::DATE), '%Y-%m-%d') AS first_date, strftime(max(ts::DATE), '%Y-%m-%d') AS last_date FROM b GROUP BY symbol",
 }

@@ -30,10 +30,11 @@ def _rows(rows, columns):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    # The suppression of structure shifts is a sequential pass; see test_shift.py.
+    assert set(QUERIES) - set(ORACLE_SQL) == {"structure_shifts", "funnel"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, db, name):
     df = QUERIES[name](spark, SF)
     result = db.execute(ORACLE_SQL[name])
