@@ -74,9 +74,9 @@ def scores(labels: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-def outliers(weekly: DataFrame, stats: DataFrame, *by: str) -> DataFrame:
-    """Weeks more than two deviations from the mean."""
-    return weekly.join(stats, [*by]).where(F.abs(F.col("n") - F.col("mean")) > 2 * F.col("std"))
+def outliers(weekly: DataFrame, stats: DataFrame, *by: str, deviations: float = 2.0) -> DataFrame:
+    """Weeks more than so many deviations from the mean."""
+    return weekly.join(stats, [*by]).where(F.abs(F.col("n") - F.col("mean")) > deviations * F.col("std"))
 
 
 def gap_matrix(gaps: DataFrame, thresholds: tuple[float, ...], *by: str) -> DataFrame:

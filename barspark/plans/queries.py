@@ -13,6 +13,7 @@ from ..operators.displacement import displacement_matrix as matrix
 from ..operators.displacement import displacements
 from ..sources.bars import available_range, integrity
 from . import evaluation as E
+from .detect import detect
 
 TF, PIP = "15m", 1.0
 
@@ -195,6 +196,17 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.funnel(parts[0].unionByName(parts[1]).unionByName(parts[2])).drop("tf")
 
 
+def weekly_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dets = _gap_detections(spark, sf_dir, 20.0)
+    weekly = dets.groupBy("symbol", F.to_date(F.date_trunc("week", "forex_day")).alias("week")).agg(F.count("*").alias("n"))
+    return _text(E.outliers(weekly, E.weekly_stats(dets, "symbol").select("symbol", "mean", "std"), "symbol", deviations=1.0).select("symbol", "week", "n"))
+
+
+def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dets = detect(bars(spark, sf_dir), TF, PIP, {"swing_n": 2})
+    return E.counts(dets.where("primitive in ('fvg', 'swing', 'displacement')"), "symbol", "primitive")
+
+
 def bar_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     return _text(integrity(b).join(available_range(b), "symbol"))
@@ -281,6 +293,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session_distribution": session_distribution,
     "weekly_stats": weekly_stats,
     "compared_runs": compared_runs,
+    "weekly_outliers": weekly_outliers,
+    "detection_counts": detection_counts,
     "gap_matrix": gap_matrix,
     "swing_matrix": swing_matrix,
     "walk_forward": walk_forward,
@@ -360,3 +374,7 @@ ORACLE_SQL: dict[str, str] = {
         coalesce(abs(round((test_metric - train_metric) * 100.0::DOUBLE / nullif(train_metric, 0), 2)) <= 20, TRUE) AS passed FROM x""",
     "bar_integrity": f"WITH {_BARS} SELECT symbol, count(*) AS bar_count, 0::BIGINT AS ghost_count, greatest(0, count(DISTINCT ts::DATE) * 1440 - count(*)) AS gap_count, strftime(min(ts::DATE), '%Y-%m-%d') AS first_date, strftime(max(ts::DATE), '%Y-%m-%d') AS last_date FROM b GROUP BY symbol",
 }
+
+ORACLE_SQL["detection_counts"] = " UNION ALL ".join(f"SELECT symbol, '{p}' AS primitive, count(*) AS n FROM ({ORACLE_SQL[q]}) GROUP BY symbol" for p, q in (("fvg", "fvg"), ("swing", "swings"), ("displacement", "displacement")))
+ORACLE_SQL["weekly_outliers"] = f"""WITH {_DETS}, v AS (SELECT symbol, date_trunc('week', day)::DATE AS week, count(*) AS n FROM d WHERE gap >= 20 GROUP BY ALL)
+    SELECT v.symbol, strftime(v.week, '%Y-%m-%d') AS week, v.n FROM v JOIN ({ORACLE_SQL["weekly_stats"]}) s ON s.symbol = v.symbol WHERE abs(v.n - s.mean) > s.std"""
