@@ -36,11 +36,13 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 256, digest: bool = False)
     alike = narrow.join(lengths.hint("merge"), "len", "left_semi").groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1")
     bit = lambda: F.pmod(F.xxhash64("len", "prefix"), F.lit(BITMAP_BITS))
     # At most BITMAP_BITS / 8 = 8 MB, whatever the input, hence the broadcast.
-    bitmap = written(alike.select(bit().alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")), "bitmap")
+    # The bits are dealt by slice before they are joined, as a number each, not as a bitmap of each task.
+    dealt = alike.select(bit().alias("bit")).withColumn("slice", F.bitmap_bucket_number("bit")).repartition("slice")
+    bitmap = written(dealt.groupBy("slice").agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")), "bitmap")
     with_bit = keys.withColumn("bit", bit()).join(F.broadcast(bitmap), F.bitmap_bucket_number("bit") == F.col("slice"), "left")
     place = F.bitmap_bit_position("bit")
     byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    set_bit = F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (place % 8 + 1).cast("int"))) != 0, F.lit(False))
+    set_bit = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (place % 8 + 1).cast("int"))) != 0, F.lit(False))
     full = F.when(set_bit, F.sha2(F.encode("norm", "UTF-8"), 256))
     if digest:
         rows = with_bit.select("doc_id", F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"), set_bit.alias("alike"))
