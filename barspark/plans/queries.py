@@ -13,6 +13,7 @@ from ..operators.displacement import displacement_matrix as matrix
 from ..operators.displacement import displacements
 from ..sources.bars import available_range, integrity
 from . import evaluation as E
+from . import search
 from .detect import detect
 
 TF, PIP = "15m", 1.0
@@ -207,6 +208,12 @@ def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.counts(dets.where("primitive in ('fvg', 'swing', 'displacement')"), "symbol", "primitive")
 
 
+def swept_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = search.combinations(spark, {"atr": [1.1, 1.4, 1.8, 2.5], "body": [0.5, 0.62, 0.8]})
+    d = displacements(B.with_atr(prepared(spark, sf_dir)), PIP)
+    return search.swept(d, sets, "atr", "body", "symbol").drop("run_id")
+
+
 def bar_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     return _text(integrity(b).join(available_range(b), "symbol"))
@@ -295,6 +302,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compared_runs": compared_runs,
     "weekly_outliers": weekly_outliers,
     "detection_counts": detection_counts,
+    "swept_grid": swept_grid,
     "gap_matrix": gap_matrix,
     "swing_matrix": swing_matrix,
     "walk_forward": walk_forward,
@@ -378,3 +386,5 @@ ORACLE_SQL: dict[str, str] = {
 ORACLE_SQL["detection_counts"] = " UNION ALL ".join(f"SELECT symbol, '{p}' AS primitive, count(*) AS n FROM ({ORACLE_SQL[q]}) GROUP BY symbol" for p, q in (("fvg", "fvg"), ("swing", "swings"), ("displacement", "displacement")))
 ORACLE_SQL["weekly_outliers"] = f"""WITH {_DETS}, v AS (SELECT symbol, date_trunc('week', day)::DATE AS week, count(*) AS n FROM d WHERE gap >= 20 GROUP BY ALL)
     SELECT v.symbol, strftime(v.week, '%Y-%m-%d') AS week, v.n FROM v JOIN ({ORACLE_SQL["weekly_stats"]}) s ON s.symbol = v.symbol WHERE abs(v.n - s.mean) > s.std"""
+ORACLE_SQL["swept_grid"] = f"""WITH RECURSIVE {_DISPLACEMENT} SELECT symbol, x.v AS atr, y.v AS body, count(*) FILTER ((am >= x.v AND bo >= y.v) OR decisive) AS detections
+    FROM (SELECT * FROM f WHERE am >= 1.0 OR bo >= 0.55 OR decisive), (SELECT unnest([1.1, 1.4, 1.8, 2.5])::DOUBLE AS v) x, (SELECT unnest([0.5, 0.62, 0.8])::DOUBLE AS v) y GROUP BY ALL"""
