@@ -104,6 +104,27 @@ ORACLE_SQL: dict[str, str] = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.norm) AS text_sha256 FROM t JOIN g ON t.norm = g.norm""",
+    "op5_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS gram FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y, c = i.n AND c = j.n AS same FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 80 * (i.n + j.n - c)),
+        b AS (SELECT x, y, same FROM e UNION ALL SELECT y, x, same FROM e),
+        r(id, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, b.y FROM r JOIN b ON b.x = r.o),
+        c AS (SELECT id, min(o) AS component_id FROM r GROUP BY id),
+        k AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(b.y) FILTER (b.same), d.doc_id)) AS set_id FROM documents d LEFT JOIN b ON b.x = d.doc_id GROUP BY d.doc_id),
+        l AS (SELECT b.x, count(DISTINCT k.set_id) AS n_links FROM b JOIN k ON k.doc_id = b.y WHERE NOT b.same GROUP BY b.x)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(l.n_links, 0) AS n_links FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.id = d.doc_id LEFT JOIN l ON l.x = d.doc_id""",
+    "op6_line_dedup": r"""
+        WITH l AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS k, unnest(s) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+        t AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+        f AS (SELECT line, min(doc_id * 10000000 + k) AS first, length(line) AS n FROM t WHERE line <> '' GROUP BY line),
+        m AS (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 16),
+        h AS (SELECT line, first, n, m, 'P' || left(line, m // 2) AS half FROM m WHERE m >= 16 UNION ALL SELECT line, first, n, m, 'S' || right(line, m - m // 2) FROM m WHERE m >= 16),
+        near AS (SELECT DISTINCT b.line FROM h a JOIN h b ON a.m = b.m AND a.half = b.half AND a.first < b.first AND abs(a.n - b.n) <= 1 WHERE levenshtein(a.line, b.line) <= 1),
+        k AS (SELECT t.*, t.line = '' OR (f.first = t.doc_id * 10000000 + t.k AND near.line IS NULL) AS keep FROM t LEFT JOIN f ON f.line = t.line LEFT JOIN near ON near.line = t.line)
+        SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (keep), '') AS text, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped FROM k GROUP BY doc_id""",
     "op7_mix_sources": r"""
         WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
         s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
