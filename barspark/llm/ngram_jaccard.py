@@ -237,7 +237,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def prefixes(batches, known=known):
         return _prefixes(width, percent, known.value)(batches)
 
-    found = written(texts.mapInArrow(prefixes, "gram long, id long, n int, pos int"), "prefixes")
+    # Rows without an id stand for no set; of copies in a task, only the first gives its n-grams.
+    found = written(texts.where("id is not null").mapInArrow(prefixes, "gram long, id long, n int, pos int"), "prefixes")
     shared = found.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1").select("gram")
     sets_of = own.where("n > 0").join(one.withColumnRenamed("id", "set_id").hint("merge"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("id"), "set_id").distinct()
     rows = found.join(shared.hint("merge"), "gram").join(sets_of.hint("merge"), "id")

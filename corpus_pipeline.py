@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barspark.llm import toxicity
 from barspark.llm.line_dedup import dedup_lines
@@ -27,9 +28,12 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id; all documents that have no partner."""
-    others = jaccard_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    """Of each class of near duplicates one row, that with the smallest doc_id, nulls last; all rows that have no partner."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = rows.select("_row", "doc_id").join(classes.hint("shuffle_hash"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first._row").hint("shuffle_hash"), "_row", "left_semi").select(docs.columns)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
