@@ -7,7 +7,8 @@ different shards compare, and the k best of each shard hold the k best of all.
 
 Queries come in blocks of at most QUERY_BLOCK; each block meets each shard in a task of its own, whatever the input. In
 it, a query's blocks of documents are taken by falling bound, the sum of its terms' block maxima, and the search ends
-when the next bound is below the k-th best score so far.
+when the next bound is below the k-th best score so far. (Block-max WAND would move cursors to pivots in the order of
+the documents instead; the bounds and the result are the same.)
 """
 
 from __future__ import annotations
@@ -49,15 +50,20 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shard: its documents' ids and lengths, and its postings (term, document, times) by term."""
+    """One row for each shard: its documents' ids and lengths, and its postings (term, document, times) by term.
+
+    Times are kept in two bytes; the few that are larger stand in full, with their places, in `many`.
+    """
     ids, sizes, docs, terms, times, held = [], [], [], [], [], 0
 
     def shard() -> pa.RecordBatch:
         term, doc, tf = (np.concatenate(x) for x in (terms, docs, times))
         order = np.argsort(term, kind="stable")
         t, start = np.unique(term[order], return_index=True)
-        columns = [np.concatenate(ids), np.concatenate(sizes).astype(np.int32), t.view(np.int64), np.append(start, len(term)).astype(np.int32), doc[order].astype(np.uint16), np.minimum(tf[order], 65535).astype(np.uint16)]
-        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["ids", "sizes", "terms", "starts", "docs", "times"])
+        tf = tf[order].astype(np.int64)
+        at = np.flatnonzero(tf > 65535)
+        columns = [np.concatenate(ids), np.concatenate(sizes).astype(np.int32), t.view(np.int64), np.append(start, len(term)).astype(np.int32), doc[order].astype(np.uint16), np.minimum(tf, 65535).astype(np.uint16), np.stack([at, tf[at]])]
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["ids", "sizes", "terms", "starts", "docs", "times", "many"])
 
     for batch in batches:
         for first, last, row, term, tf, size in _terms(batch.column(1)):
@@ -78,10 +84,12 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    def __init__(self, ids: bytes, sizes: bytes, terms: bytes, starts: bytes, docs: bytes, times: bytes, mean: float):
+    def __init__(self, ids: bytes, sizes: bytes, terms: bytes, starts: bytes, docs: bytes, times: bytes, many: bytes, mean: float):
         self.ids, self.terms, starts = np.frombuffer(ids, np.int64), np.frombuffer(terms, np.int64).view(np.uint64), np.frombuffer(starts, np.int32)
         sizes, self.docs = np.frombuffer(sizes, np.int32), np.frombuffer(docs, np.uint16).astype(np.int32)
         tf = np.frombuffer(times, np.uint16).astype(np.float64)
+        places, larger = np.frombuffer(many, np.int64).reshape(2, -1)
+        tf[places] = larger
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.docs] / max(mean, 1e-9)))
         term = np.repeat(np.arange(len(self.terms)), np.diff(starts))
         block = self.docs // BLOCK
@@ -131,7 +139,7 @@ def _search(k: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {name: batch.column(name)[r].as_py() for name in ("ids", "sizes", "terms", "starts", "docs", "times")}
+                row = {name: batch.column(name)[r].as_py() for name in ("ids", "sizes", "terms", "starts", "docs", "times", "many")}
                 shard = Shard(**row, mean=mean)
                 queries, found = [], []
                 for query in batch.column("queries")[r].values:
@@ -169,7 +177,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     terms = asked.mapInArrow(distinct, "query_id long, term long").join(counts.where("not total").hint("merge"), "term").select("query_id", F.struct("term", idf.alias("w")).alias("t"))
     weighted = written(terms.groupBy("query_id").agg(F.collect_list("t").alias("t")), "queries")
-    shards = written(texts.mapInArrow(_index, "ids binary, sizes binary, terms binary, starts binary, docs binary, times binary").withColumn("part", F.monotonically_increasing_id()), "shards")
+    shards = written(texts.mapInArrow(_index, "ids binary, sizes binary, terms binary, starts binary, docs binary, times binary, many binary").withColumn("part", F.monotonically_increasing_id()), "shards")
     blocks, n_shards = -(-weighted.count() // QUERY_BLOCK), shards.count()
     if not blocks or not n_shards:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
@@ -180,6 +188,6 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spread = numbered.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked_of = written(grouped, "blocks").withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(n_shards))))
     met = spread.join(asked_of.hint("shuffle_hash"), ["shard", "block"])
-    found = written(met.select("ids", "sizes", "terms", "starts", "docs", "times", "queries").mapInArrow(_search(k, mean), "query_id long, doc_id long, score double"), "found")
+    found = written(met.select("ids", "sizes", "terms", "starts", "docs", "times", "many", "queries").mapInArrow(_search(k, mean), "query_id long, doc_id long, score double"), "found")
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.doc_id").alias("doc_id"), (-F.col("b.s")).alias("score"))
