@@ -1,14 +1,18 @@
 """Exact top-k search by BM25: an inverted index with block maxima, searched shard by shard, merged exactly.
 
-Shards are built where the documents are read, of at most SHARD_DOCS documents each; no text moves. A shard keeps, for
-each term, its postings in the order of the documents, in blocks of BLOCK documents, and the highest impact in each
-block. Document frequencies, the number of documents and their mean length are those of the whole table, so scores of
-different shards compare, and the k best of each shard hold the k best of all.
-
-Queries come in blocks of at most QUERY_BLOCK; each block meets each shard in a task of its own, whatever the input. In
-it, a query's blocks of documents are taken by falling bound, the sum of its terms' block maxima, and the search ends
-when the next bound is below the k-th best score so far. (Block-max WAND would move cursors to pivots in the order of
-the documents instead; the bounds and the result are the same.)
+Documents are packed where they are read, in pieces of at most PIECE_DOCS; pieces are dealt to shards of about SHARD_DOCS
+documents. Document frequencies, the number of documents and their mean length are those of the whole table, so scores
+of different shards compare, and the k best of each shard hold the k best of all.
+
+The pieces of a shard and one copy of each query meet in a task, sorted so that the pieces come first. The task inverts
+them (postings by term, the highest impact of each term, and of each term in each block of BLOCK documents), and then
+the queries stream by, so that memory holds one shard and one batch of queries, whatever the number of either.
+
+A query is searched by block-max WAND, over whole lists instead of one cursor step at a time. The k-th best score so
+far is the threshold, at first that of the documents which gain most from rare terms. Common terms are put in the order
+of falling bounds. A document whose gain so far and the block maxima of the terms that are still to come stay below the
+threshold is skipped: the pivot, the term at which all bounds together pass the threshold, lies beyond what is left.
+Only the lists' parts in documents that aren't skipped are read; the gains of those that remain raise the threshold.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ from pyspark.sql import functions as F
 from .store import written
 from .words import hashed_words
 
-SHARD_DOCS = 16384
-QUERY_BLOCK = 4096
-BLOCK = 16
+PIECE_DOCS, PIECE_WORDS = 1024, 1 << 20
+SHARD_DOCS = 24576
+BLOCK = 32
+COMMON = 16  # a term is common if it is in at least one of so many documents
 K1, B = 1.2, 0.75
+_SLACK = 1 + 1e-9  # for sums in another order
 
 
 def _terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -49,145 +55,181 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t.view(np.int64), [0, 1]])), pa.array(np.concatenate([n, extra]).astype(np.int64)), pa.array([False] * len(t) + [True] * 2)], names=["term", "n", "total"])
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shard: its documents' ids and lengths, and its postings (term, document, times) by term.
+_PIECE = {"ids": np.int64, "sizes": np.int32, "distinct": np.int32, "terms": np.int64, "times": np.int32}
 
-    Times are kept in two bytes; the few that are larger stand in full, with their places, in `many`.
-    """
-    ids, sizes, docs, terms, times, held = [], [], [], [], [], 0
 
-    def shard() -> pa.RecordBatch:
-        term, doc, tf = (np.concatenate(x) for x in (terms, docs, times))
-        order = np.argsort(term, kind="stable")
-        t, start = np.unique(term[order], return_index=True)
-        tf = tf[order].astype(np.int64)
-        at = np.flatnonzero(tf > 65535)
-        columns = [np.concatenate(ids), np.concatenate(sizes).astype(np.int32), t.view(np.int64), np.append(start, len(term)).astype(np.int32), doc[order].astype(np.uint16), np.minimum(tf, 65535).astype(np.uint16), np.stack([at, tf[at]])]
-        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["ids", "sizes", "terms", "starts", "docs", "times", "many"])
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents packed: their ids, numbers of words and of distinct terms, and the terms with their times, by document and term."""
+    held: list[list[np.ndarray]] = []
+    docs = words = 0
+
+    def packed() -> pa.RecordBatch:
+        columns = [np.concatenate(x).astype(kind) for x, kind in zip(zip(*held, strict=True), _PIECE.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=list(_PIECE))
 
     for batch in batches:
-        for first, last, row, term, tf, size in _terms(batch.column(1)):
-            for a in range(0, last - first, SHARD_DOCS):
-                b = min(last - first, a + SHARD_DOCS)
-                if held + b - a > SHARD_DOCS and held:
-                    yield shard()
-                    ids, sizes, docs, terms, times, held = [], [], [], [], [], 0
-                some = (row >= a) & (row < b)
-                ids.append(batch.column(0).slice(first + a, b - a).to_numpy(zero_copy_only=False).astype(np.int64))
-                sizes.append(size[a:b])
-                docs.append(row[some] - a + held)
-                terms.append(term[some])
-                times.append(tf[some])
-                held += b - a
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for first, last, row, term, times, sizes in _terms(batch.column(1)):
+            edges = np.searchsorted(row, np.arange(last - first + 1))
+            for a in range(0, last - first, PIECE_DOCS):
+                b = min(last - first, a + PIECE_DOCS)
+                some = slice(edges[a], edges[b])
+                if held and (docs + b - a > PIECE_DOCS or words + edges[b] - edges[a] > PIECE_WORDS):
+                    yield packed()
+                    held, docs, words = [], 0, 0
+                held.append([ids[first + a : first + b], sizes[a:b], np.diff(edges[a : b + 1]), term[some].view(np.int64), times[some]])
+                docs, words = docs + b - a, words + int(edges[b] - edges[a])
     if held:
-        yield shard()
+        yield packed()
 
 
 class Shard:
-    def __init__(self, ids: bytes, sizes: bytes, terms: bytes, starts: bytes, docs: bytes, times: bytes, many: bytes, mean: float):
-        self.ids, self.terms, starts = np.frombuffer(ids, np.int64), np.frombuffer(terms, np.int64).view(np.uint64), np.frombuffer(starts, np.int32)
-        sizes, self.docs = np.frombuffer(sizes, np.int32), np.frombuffer(docs, np.uint16).astype(np.int32)
-        tf = np.frombuffer(times, np.uint16).astype(np.float64)
-        places, larger = np.frombuffer(many, np.int64).reshape(2, -1)
-        tf[places] = larger
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.docs] / max(mean, 1e-9)))
-        term = np.repeat(np.arange(len(self.terms)), np.diff(starts))
-        block = self.docs // BLOCK
-        fresh = np.ones(len(term), bool)
-        fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        at = np.flatnonzero(fresh)
-        self.entry_block, self.entry_start = block[at], np.append(at, len(term))
-        self.entry_most = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
-        self.term_entries = np.searchsorted(at, starts)
-        self.blocks = -(-len(self.ids) // BLOCK)
+    def __init__(self, pieces: list[dict[str, bytes]], mean: float):
+        ids, sizes, distinct, terms, times = (np.concatenate([np.frombuffer(p[name], kind) for p in pieces]) for name, kind in _PIECE.items())
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), distinct)
+        order = np.argsort(terms.view(np.uint64), kind="stable")
+        terms, doc, times = terms.view(np.uint64)[order], doc[order], times[order]
+        at = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])[: len(terms)])
+        starts = np.append(at, len(terms))
+        n = np.diff(starts)
+        self.ids, self.terms = ids, terms[at]
+        norms = K1 * (1 - B + B * sizes / max(mean, 1e-9))
+        # Lists of common terms are kept dense: the impact of the term in each document, and its highest in each block.
+        self.blocks = -(-len(ids) // BLOCK)
+        common = np.flatnonzero(n * COMMON >= len(ids)) if len(ids) >= BLOCK else np.zeros(0, np.int64)
+        self.row = np.full(len(n), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        impact = times * (K1 + 1) / (times + norms[doc])
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        for r, c in enumerate(common):
+            self.dense[r, doc[starts[c] : starts[c + 1]]] = impact[starts[c] : starts[c + 1]]
+        self.block_most = self.dense.reshape(len(common), self.blocks, BLOCK).max(2) if len(common) else np.zeros((0, self.blocks))
+        # The others as postings by term: document and impact.
+        self.most = np.maximum.reduceat(impact, at) if len(at) else np.zeros(0)
+        rare = np.repeat(self.row < 0, n)
+        self.doc, self.impact = doc[rare], impact[rare]
+        self.starts = np.concatenate([[0], np.cumsum(np.where(self.row < 0, n, 0))])
+
+    def _gains(self, rows: np.ndarray, weights: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """What the documents gain from common terms."""
+        if len(docs) * 4 > self.dense.shape[1]:
+            return (weights @ self.dense[rows])[docs]
+        return weights @ self.dense[rows[:, None], docs]
 
     def best(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents that share a term with the query."""
+        """Ids and scores of the k best documents that share a term with the query; the terms are given in ascending order."""
         at = np.searchsorted(self.terms, terms)
-        at = np.where(at < len(self.terms), at, 0)
-        there = self.terms[at] == terms
+        at[at == len(self.terms)] = 0
+        there = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, weights = at[there], weights[there]
-        first, last = self.term_entries[at], self.term_entries[at + 1]
-        n = last - first
-        entries = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        weight, block = np.repeat(weights, n), self.entry_block[entries]
-        bound = np.bincount(block, self.entry_most[entries] * weight, self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        by_block = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        scores, ids, least, done, step = np.zeros(0), np.zeros(0, np.int64), 0.0, 0, 2
-        while done < self.blocks and bound[order[done]] > 0 and (len(ids) < k or bound[order[done]] * (1 + 1e-9) >= least):
-            some = order[done : done + step]
-            done, step = done + step, min(step * 2, 256)
-            some = some[bound[some] > 0]
-            picked = by_block[np.concatenate([np.arange(edges[b], edges[b + 1]) for b in some])]
-            own = entries[picked]
-            m = self.entry_start[own + 1] - self.entry_start[own]
-            posting = np.repeat(self.entry_start[own] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            doc = self.docs[posting]
-            low = int(doc.min())
-            sums = np.bincount(doc - low, self.impact[posting] * np.repeat(weight[picked], m))
-            hit = np.flatnonzero(sums)
-            scores, ids = np.concatenate([scores, sums[hit]]), np.concatenate([ids, self.ids[hit + low]])
-            keep = np.lexsort((ids, -scores))[:k]
-            scores, ids = scores[keep], ids[keep]
-            least = scores[-1] if len(scores) == k else 0.0
-        return ids, scores
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0)
+        row = self.row[at]
+        dense = np.flatnonzero(row >= 0)
+        dense = dense[np.argsort(-self.most[at[dense]] * weights[dense], kind="stable")]  # by falling bound
+        row = row[dense]
+        # What documents gain from rare terms.
+        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        posting = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        own, part = self.doc[posting], self.impact[posting] * np.repeat(weights, n)
+        gained = np.bincount(own, part, self.blocks * BLOCK).astype(np.float64)  # without postings they would be integers
+        # Bounds of the common terms in each block, all from a term on.
+        behind = np.zeros((len(dense) + 1, self.blocks))
+        behind[:-1] = np.cumsum((self.block_most[row] * weights[dense][:, None])[::-1], axis=0)[::-1]
+
+        # The threshold: the k-th best of the documents that gain most from rare terms.
+        some = np.argpartition(-gained, min(4 * k, len(gained) - 1))[: 4 * k]
+        known = gained[some] + self._gains(row, weights[dense], some)
+        least = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else 0.0
+        # The pivot of each block: a document needs more from the terms before it than it can have from those behind.
+        left = np.flatnonzero(gained + np.repeat(behind[0], BLOCK) >= least / _SLACK)
+        step = max(1, len(dense) // 4)
+        for upto in range(step, len(dense) + step, step):
+            done, now = dense[upto - step : upto], row[upto - step : upto]
+            gained[left] += self._gains(now, weights[done], left)
+            left = left[gained[left] + behind[min(upto, len(dense)), left // BLOCK] >= least / _SLACK]
+            if len(left) > 8 * k:  # the k-th best of what documents have by now is a threshold as well
+                least = max(least, np.partition(gained[left], len(left) - k)[len(left) - k])
+        left = left[(gained[left] > 0) & (gained[left] >= least / _SLACK)]
+        if len(left) > k:
+            left = left[gained[left] >= np.partition(gained[left], len(left) - k)[len(left) - k] / _SLACK]
+        # Exact scores of what is left, ties included: each document's parts in the order of the terms.
+        place = np.full(self.blocks * BLOCK, -1, np.int32)
+        place[left] = np.arange(len(left))
+        hit = np.flatnonzero(place[own] >= 0)
+        term = np.repeat(np.arange(len(at)), n)[hit]
+        parts = [(place[own[hit]], term, part[hit])]
+        if len(dense):
+            more = self.dense[row[:, None], left] * weights[dense][:, None]
+            parts.append((np.tile(np.arange(len(left)), len(dense)), np.repeat(dense, len(left)), more.reshape(-1)))
+        doc, term, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((term, doc))
+        exact = np.bincount(doc[order], value[order], len(left))
+        keep = np.lexsort((self.ids[left], -exact))[:k]
+        return self.ids[left[keep]], exact[keep]
 
 
 def _search(k: int, mean: float):
+    """Pieces (kind 0) and queries (kind 1) by shard; a shard's pieces come before its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, pieces, shard = None, [], None
         for batch in batches:
-            for r in range(batch.num_rows):
-                row = {name: batch.column(name)[r].as_py() for name in ("ids", "sizes", "terms", "starts", "docs", "times", "many")}
-                shard = Shard(**row, mean=mean)
-                queries, found = [], []
-                for query in batch.column("queries")[r].values:
-                    terms = query["t"].values.field(0).to_numpy().view(np.uint64)
-                    ids, scores = shard.best(terms, query["t"].values.field(1).to_numpy(), k)
-                    queries += [query["query_id"].as_py()] * len(ids)
-                    found.append((ids, scores))
-                ids = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
-                scores = np.concatenate([np.zeros(0), *(f[1] for f in found)])
-                yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(ids), pa.array(scores)], names=["query_id", "doc_id", "score"])
+            numbers, kinds = batch.column("shard").to_pylist(), batch.column("kind").to_pylist()
+            terms, weights = batch.column("t"), batch.column("w")
+            queries, ids, scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for r, (s, kind) in enumerate(zip(numbers, kinds, strict=True)):
+                if s != number:
+                    number, pieces, shard = s, [], None
+                if kind == 0:
+                    pieces.append({name: batch.column(name)[r].as_py() for name in _PIECE})
+                    continue
+                if shard is None:
+                    if not pieces:
+                        continue
+                    shard, pieces = Shard(pieces, mean), []
+                term, weight = terms[r].values.to_numpy().view(np.uint64), weights[r].values.to_numpy()
+                order = np.argsort(term)
+                found = shard.best(term[order], weight[order], k)
+                queries += [batch.column("q")[r].as_py()] * len(found[0])
+                ids.append(found[0])
+                scores.append(found[1])
+            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], names=["q", "doc_id", "score"])
 
     return run
 
 
+def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, last, row, term, _, _ in _terms(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(row)), pa.array(term.view(np.int64))], names=["q", "term"])
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score): for each row of `queries` (query_id, text) the k rows of `docs` (doc_id, text) with the highest BM25 scores.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; each different word of a query counts once. Equal scores go by
     doc_id. Documents that share no word with a query have score 0 and are not listed, so a null or empty query has no
     rows, nor has any query of an empty table. Rows with a null id are left out; rows that repeat a doc_id are documents
-    of their own, and each row of `queries` that repeats a query_id should be given once. Other columns are not read.
+    of their own, and rows that repeat a query_id are queries of their own, with k rows each. Other columns are not read.
     """
-    spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = written(texts.mapInArrow(_frequencies, "term long, n long, total boolean").groupBy("term", "total").agg(F.sum("n").alias("n")), "frequencies")
     totals = dict(counts.where("total").select("term", "n").collect())
     n_docs, mean = totals.get(0, 0), totals.get(1, 0) / max(1, totals.get(0, 0))
-    idf = F.log(1 + (F.lit(float(n_docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    n_shards = max(1, -(-n_docs // SHARD_DOCS))
     asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text"))
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, row, term, _, _ in _terms(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(row)), pa.array(term.view(np.int64))], names=["query_id", "term"])
-
-    terms = asked.mapInArrow(distinct, "query_id long, term long").join(counts.where("not total").hint("merge"), "term").select("query_id", F.struct("term", idf.alias("w")).alias("t"))
-    weighted = written(terms.groupBy("query_id").agg(F.collect_list("t").alias("t")), "queries")
-    shards = written(texts.mapInArrow(_index, "ids binary, sizes binary, terms binary, starts binary, docs binary, times binary, many binary").withColumn("part", F.monotonically_increasing_id()), "shards")
-    blocks, n_shards = -(-weighted.count() // QUERY_BLOCK), shards.count()
-    if not blocks or not n_shards:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    grouped = weighted.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "t")).alias("queries"))
-    # One row for each shard, numbered without its payload; blocks and shards then meet by an equi-join on both numbers.
-    number = shards.select("part").withColumn("shard", F.row_number().over(Window.orderBy("part")))
-    numbered = shards.join(number.hint("shuffle_hash"), "part")
-    spread = numbered.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked_of = written(grouped, "blocks").withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(n_shards))))
-    met = spread.join(asked_of.hint("shuffle_hash"), ["shard", "block"])
-    found = written(met.select("ids", "sizes", "terms", "starts", "docs", "times", "many", "queries").mapInArrow(_search(k, mean), "query_id long, doc_id long, score double"), "found")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.doc_id").alias("doc_id"), (-F.col("b.s")).alias("score"))
+    asked = written(asked.withColumn("q", F.monotonically_increasing_id()), "asked")
+    idf = F.log(1 + (F.lit(float(n_docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    terms = asked.select("q", "text").mapInArrow(_distinct_terms, "q long, term long").join(counts.where("not total").hint("merge"), "term").groupBy("q").agg(F.collect_list(F.struct("term", idf.alias("w"))).alias("t"))
+    weighted = written(terms.select("q", F.col("t.term").alias("t"), F.col("t.w").alias("w")), "queries")
+
+    packed = texts.mapInArrow(_pieces, ", ".join(f"{name} binary" for name in _PIECE))
+    pieces = written(packed.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_shards)).cast("int")), "pieces")
+    pieces = pieces.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("q"), F.lit(None).cast("array<long>").alias("t"), F.lit(None).cast("array<double>").alias("w"), *_PIECE)
+    each = weighted.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("kind"), "q", "t", "w", *[F.lit(None).cast("binary").alias(name) for name in _PIECE])
+    met = pieces.unionByName(each).repartition(n_shards, "shard").sortWithinPartitions("shard", "kind")
+    found = written(met.mapInArrow(_search(k, mean), "q long, doc_id long, score double"), "found")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.join(asked.select("q", "query_id").hint("merge"), "q").select("query_id", "rank", "doc_id", "score")
