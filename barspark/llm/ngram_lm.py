@@ -1,17 +1,19 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Training counts tokens (words with A-Z lower-cased, and one end for each text). The counts of tokens are exact and cover
-all training texts. Tokens that make up at least one in VOCABULARY of all, so VOCABULARY at most, are the model's
-vocabulary, which is broadcast; all others share one id. Bigrams over these ids are counted over all training texts, too.
-A bigram's count is quantised on a log scale, and the filter holds it as the set of pairs (bigram, 1), ..., (bigram, q).
-It is broadcast: 2^FILTER_BITS bits, whatever the input. If the bigrams would fill more than half of it, the least
-count that is held is raised until they don't.
-
-A text's probability interpolates the bigram's relative frequency, read by probing for q = 1, 2, ... until a probe
+Training counts tokens (words with A-Z lower-cased, and one end for each text) and bigrams, over all training texts. Each
+count is quantised on a log scale, and the filter holds it as the set of pairs (n-gram, 1), ..., (n-gram, q). A text's
+probability interpolates the bigram's relative frequency, with counts read by probing for q = 1, 2, ... until a probe
 fails, with the smoothed unigram. The weight of each side follows from how often the first word was seen.
 
-The base score, by exact counts, takes the vocabulary's part from the broadcast counts, and joins only the rare tokens'
-rows with the table of counts; no row of a frequent token is shuffled, so there are no hot keys.
+The filter grows with the corpus: nothing is left out of it. It comes in slices by the n-gram's hash, of about
+SLICE_TOKENS training tokens each, and a slice has as many bits as its entries need. As its whole size has no bound it
+isn't broadcast whole; a task holds one slice at a time. To score, the different n-grams of about CHUNK_TOKENS tokens go
+to their slices, packed, and the levels found come back to the chunk, one byte each. Slice and n-grams (and then chunk
+and levels) meet in a task sorted, so that what is asked streams past what is held.
+
+The base score, by exact counts, takes the vocabulary's part (tokens that make up at least one in VOCABULARY of all, so
+VOCABULARY at most) from broadcast counts, and joins only the other tokens' rows with the table of counts; no row of a
+frequent token is shuffled, so there are no hot keys.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from .store import written
 from .words import hashed_words, mix
 
 VOCABULARY = 500_000
-FILTER_BITS = 26
-PROBES = 3
+SLICE_TOKENS = 1_000_000
+CHUNK_TOKENS = 1_000_000
+PROBES = 8
 STEPS = 2.0  # quantisation: steps for each doubling
-SLICE_BITS = 18
 DISCOUNT = 4.0
-END = np.uint64(0x51ED270B9F652295)
+END, START = np.uint64(0x51ED270B9F652295), np.uint64(0x2545F4914F6CDD1D)
+_UNIGRAM, _BIGRAM = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -66,97 +69,137 @@ class Vocabulary:
         return np.where(self.tokens[at] == tokens, at + 1, 0)
 
 
-def _pairs(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bigrams as one number; the start of a text is one more id. Also the ids that come first in each."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[rows[:-1]] = VOCABULARY + 1
-    return before << np.int64(24) | ids, before
+def unigrams(tokens: np.ndarray) -> np.ndarray:
+    return mix(tokens + _UNIGRAM)
+
+
+def bigrams(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return mix(before * _BIGRAM + mix(tokens))
+
+
+def _keys(tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each token and of the bigram that ends with it; `firsts` are the places where texts begin."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[firsts] = START
+    return unigrams(tokens), bigrams(before, tokens)
+
+
+def _by_slice(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys by slice, the slices that occur, and where each begins in that order (and the end)."""
+    own = keys % np.uint64(slices)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+    return order, own[begin].astype(np.int32), np.append(begin, len(own))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[begin], np.add.reduceat(n, begin) if len(begin) else n
 
 
-def _bigrams(known: Broadcast):
+def _gathered(slices: int):
+    """Counts of n-grams within a part of a task's texts, packed by slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            pairs, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            pair, where = np.unique(pairs, return_inverse=True)
-            return pair, np.bincount(where, n).astype(np.int64)
-
-        def out(pair: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(pair), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pair[k : k + 100_000]), pa.array(n[k : k + 100_000])], names=["pair", "n"])
+        def out() -> pa.RecordBatch:
+            keys, n = _merged(held)
+            order, own, begin = _by_slice(keys, slices)
+            keys, n = keys[order], n[order].astype(np.int64)
+            cut = list(zip(begin[:-1], begin[1:], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(own), *[pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (keys, n)]], names=["slice", "keys", "n"])
 
         for batch in batches:
             for _, _, tokens, rows in _tokens(batch.column(0)):
-                held.append(np.unique(_pairs(known.value.ids(tokens), rows)[0], return_counts=True))
-                size += len(held[-1][0])
-                if size > 3_000_000:
-                    yield from out(*merged())
+                for keys in _keys(tokens, rows[:-1]):
+                    held.append(np.unique(keys, return_counts=True))
+                size += len(tokens)
+                if size >= CHUNK_TOKENS:
+                    yield out()
                     held, size = [], 0
         if held:
-            yield from out(*merged())
+            yield out()
 
     return run
 
 
-def _places(keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-    """The bits of (key, level), one for each probe."""
-    scrambled = mix(keys.astype(np.uint64))
-    for k in range(PROBES):
-        yield (mix(scrambled + np.uint64(level * PROBES + k + 1)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def levels(n: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(STEPS * np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
-def _levels(n: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(STEPS * np.log2(np.maximum(n, 1))).astype(np.int64)
+def middle(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: the middle of those on it; 0 if there is none."""
+    return np.where(level == 0, 0.0, 2.0 ** ((level - np.where(level < 3, 1.0, 0.5)) / STEPS))
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of the filter with the bits of the bigrams (pair, n)."""
-    held: dict[int, np.ndarray] = {}
-    cells = 1 << SLICE_BITS
-    for batch in batches:
-        pairs, levels = batch.column(0).to_numpy(), _levels(batch.column(1).to_numpy())
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            for bits in _places(pairs[levels >= level], level):
-                part = bits >> SLICE_BITS
-                for k in np.unique(part):
-                    held.setdefault(int(k), np.zeros(cells, bool))[bits[part == k] & (cells - 1)] = True
-    for k, v in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(v).tobytes()], pa.binary())], names=["slice", "bits"])
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
+@dataclass
+class Slice:
+    cells: int
+    bits: np.ndarray  # eight cells in a byte
+
+    def _place(self, keys: np.ndarray, level: int, probe: int) -> np.ndarray:
+        return ((mix(keys + np.uint64(level * PROBES + probe)) >> np.uint64(32)) * np.uint64(self.cells) >> np.uint64(32)).astype(np.int64)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, n: np.ndarray) -> Slice:
+        height = levels(n)
+        out = cls(max(64, int(height.sum() * PROBES / np.log(2))), np.zeros(0, np.uint8))
+        full = np.zeros(out.cells, bool)
+        for level in range(1, int(height.max(initial=0)) + 1):
+            some = keys[height >= level]
+            for probe in range(PROBES):
+                full[out._place(some, level, probe)] = True
+        out.bits = np.packbits(full)
+        return out
+
+    def read(self, keys: np.ndarray) -> np.ndarray:
+        """The last level that is there, by repeated probes; 0 if none is."""
+        found, left, level = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 1
+        while len(left) and level < 256:
+            for probe in range(PROBES):
+                cell = self._place(keys[left], level, probe)
+                left = left[(self.bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1]
+            found[left] = level
+            level += 1
+        return found
+
+
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter's slices out of rows (slice, keys, n), which come slice by slice."""
+    number, parts, size = None, [], 0
+
+    def out() -> pa.RecordBatch:
+        made = Slice.of(*_merged(parts))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([made.cells], pa.int64()), pa.array([made.bits.tobytes()], pa.binary())], names=["slice", "cells", "bits"])
+
     for batch in batches:
-        for k, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            bits = np.frombuffer(bits, np.uint8)
-            held[k] = held[k] | bits if k in held else bits
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["slice", "bits"])
+        for r, s in enumerate(batch.column("slice").to_pylist()):
+            if s != number and parts:
+                yield out()
+                parts, size = [], 0
+            number = s
+            parts.append((np.frombuffer(batch.column("keys")[r].as_py(), np.uint64), np.frombuffer(batch.column("n")[r].as_py(), np.int64)))
+            size += len(parts[-1][0])
+            if size > 4 * SLICE_TOKENS:  # one n-gram in very many tasks
+                parts = [_merged(parts)]
+                size = 0
+    if parts:
+        yield out()
 
 
 @dataclass
 class Model:
     vocabulary: Broadcast
-    bits: Broadcast  # the filter, eight cells in a byte
-    least: int  # the least count that the filter holds
+    slices: int
+    filter: DataFrame  # (slice, cells, bits)
     counts: DataFrame  # (token, n) of all training tokens
-    highest: int  # the highest level held
-
-    def quantised(self, pairs: np.ndarray) -> np.ndarray:
-        """Counts of bigrams by repeated probes: the middle of the last level that is there, 0 if none is. With a least count held above 1, levels below it are there as well."""
-        bits, n = self.bits.value, np.zeros(len(pairs))
-        left = np.arange(len(pairs))
-        for level in range(1, self.highest + 1):
-            there = np.ones(len(left), bool)
-            for cell in _places(pairs[left], level):
-                there &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-            left = left[there]
-            if not len(left):
-                break
-            n[left] = 2 ** ((level - 1) / STEPS) if level < 3 else 2 ** ((level - 0.5) / STEPS)
-        return n
 
 
 def train(docs: DataFrame) -> Model:
@@ -169,45 +212,51 @@ def train(docs: DataFrame) -> Model:
     tokens, n = frequent["token"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
     known = spark.sparkContext.broadcast(Vocabulary(tokens[order], n[order], total, distinct))
-    pairs = written(texts.mapInArrow(_bigrams(known), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "bigrams")
-    by_count = dict(pairs.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*")).collect())
-    least, room = 0, (1 << FILTER_BITS) * np.log(2) / PROBES
-    while sum(c * (STEPS * (k + 1)) for k, c in by_count.items() if k >= least) > room:
-        least += 1
-    held = pairs.where(F.col("n") >= 1 << least)
-    slices = held.mapInArrow(_bits, "slice int, bits binary").repartition(32, "slice").mapInArrow(_joined, "slice int, bits binary")
-    cells = np.zeros((1 << (FILTER_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
-    for k, bits in slices.toLocalIterator():  # 2^FILTER_BITS bits together
-        cells[k] = np.frombuffer(bits, np.uint8)
-    highest = int(_levels(np.array([2 << max(by_count, default=0)]))[0])
-    return Model(known, spark.sparkContext.broadcast(cells.reshape(-1)), 1 << least, counts, highest)
-
-
-def _scores(model: Model):
-    known, bits = model.vocabulary, Model(model.vocabulary, model.bits, model.least, None, model.highest)
+    slices = max(1, -(-total // SLICE_TOKENS))
+    gathered = texts.mapInArrow(_gathered(slices), "slice int, keys binary, n binary").repartition(slices, "slice").sortWithinPartitions("slice")
+    return Model(known, slices, written(gathered.mapInArrow(_filters, "slice int, cells long, bits binary"), "filter"), counts)
+
+
+_ASKED = "row long, doc_id {kind}, n_tokens long, n_known long, base double, rare array<struct<token:long,times:int>>, chunk long, slice int, data binary, texts binary"
+
+
+def _asked(known: Broadcast, slices: int):
+    """Three kinds of rows: each text with its part of the base score; each chunk with its texts (row, number of tokens)
+    and, for each token, the places of the token's and the bigram's levels; and the n-grams that a chunk asks a slice for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = known.value
         logs = np.log10((np.concatenate([[0], v.counts]) + 1) / (v.total + v.distinct + 1))
-        unigram = np.concatenate([[1.0], v.counts + 1.0]) / (v.total + v.distinct + 1)
-        seen = np.concatenate([[max(1, v.total - v.counts.sum())], v.counts, [0]]).astype(float)
-        ends = v.counts[np.searchsorted(v.tokens, END)] if len(v.tokens) and END in v.tokens else 1
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size, schema = 0, None
+
+        def rows(**columns: pa.Array) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            row, tokens, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            first, second = _keys(tokens, np.cumsum(counts) - counts)
+            keys, where = np.unique(np.concatenate([first, second]), return_inverse=True)
+            order, own, begin = _by_slice(keys, slices)
+            place = np.empty(len(keys), np.int32)
+            place[order] = np.arange(len(keys), dtype=np.int32)
+            keys, chunk = keys[order], pa.array([int(row[0])], pa.int64())
+            yield rows(chunk=chunk, data=pa.array([place[where].tobytes()], pa.binary()), texts=pa.array([np.concatenate([row, counts]).astype(np.int64).tobytes()], pa.binary()))
+            asked = [keys[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            yield rows(chunk=pa.array([int(row[0])] * len(asked), pa.int64()), slice=pa.array(own), data=pa.array(asked, pa.binary()))
+
         for batch in batches:
-            for first, last, tokens, rows in _tokens(batch.column(1)):
-                ids = v.ids(tokens)
-                pairs, before = _pairs(ids, rows)
-                pair, where = np.unique(pairs, return_inverse=True)
-                n = bits.quantised(pair)[where]
-                context = np.where(before == VOCABULARY + 1, ends, seen[np.minimum(before, len(seen) - 1)])
-                share = context / (context + DISCOUNT * np.sqrt(context + 1))
-                alike = np.minimum(1.0, n / np.maximum(context, 1))
-                # A word outside the vocabulary shares the class's bigrams by its own smoothed frequency.
-                within = np.where(ids == 0, 1 / max(1, v.distinct - len(v.counts) + 1), 1.0)
-                probability = share * alike * within + (1 - share) * unigram[ids]
-                row = np.repeat(np.arange(last - first), np.diff(rows))
-                count = last - first
+            if schema is None:
+                entry = pa.list_(pa.struct([("token", pa.int64()), ("times", pa.int32())]))
+                kinds = [pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.float64(), entry, pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                schema = pa.schema(list(zip(("row", "doc_id", "n_tokens", "n_known", "base", "rare", "chunk", "slice", "data", "texts"), kinds, strict=True)))
+            number = batch.column("row").to_numpy()
+            for first, last, tokens, edges in _tokens(batch.column("text")):
+                count, n = last - first, np.diff(edges)
+                ids, row = v.ids(tokens), np.repeat(np.arange(last - first), np.diff(edges))
                 rare = ids == 0
-                for_each = [np.bincount(row, w, count) for w in (np.where(rare, 0.0, logs[ids]), np.log10(probability), ~rare)]
+                base, seen = (np.bincount(row, w, count) for w in (np.where(rare, 0.0, logs[ids]), ~rare))
                 token, at = tokens[rare].view(np.int64), row[rare]
                 order = np.lexsort((token, at))
                 token, at = token[order], at[order]
@@ -217,10 +266,71 @@ def _scores(model: Model):
                 times = np.diff(np.concatenate([begin, [len(token)]]))
                 lists = np.concatenate([[0], np.cumsum(np.bincount(at[begin], minlength=count))]).astype(np.int32)
                 entry = pa.StructArray.from_arrays([pa.array(token[begin]), pa.array(times.astype(np.int32))], names=["token", "times"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, count), pa.array(np.diff(rows).astype(np.int64)), pa.array(for_each[2].astype(np.int64)), pa.array(for_each[0]), pa.array(for_each[1]), pa.ListArray.from_arrays(pa.array(lists), entry)],
-                    names=["doc_id", "n_tokens", "n_known", "base", "score", "rare"],
-                )
+                yield rows(row=batch.column("row").slice(first, count), doc_id=batch.column("doc_id").slice(first, count), n_tokens=pa.array(n.astype(np.int64)), n_known=pa.array(seen.astype(np.int64)), base=pa.array(base), rare=pa.ListArray.from_arrays(pa.array(lists), entry))
+                held.append((number[first:last], tokens, n))
+                size += len(tokens)
+                if size >= CHUNK_TOKENS:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of the n-grams asked for; a slice (with `cells`) comes before what asks it."""
+    number, held = None, None
+    for batch in batches:
+        chunks, data = [], []
+        numbers, cells = batch.column("slice").to_pylist(), batch.column("cells").to_pylist()
+        for r, s in enumerate(numbers):
+            if cells[r] is not None:
+                number, held = s, Slice(cells[r], np.frombuffer(batch.column("data")[r].as_py(), np.uint8))
+                continue
+            keys = np.frombuffer(batch.column("data")[r].as_py(), np.uint64)
+            # Without a slice of that number, training saw none of these.
+            found = held.read(keys) if s == number else np.zeros(len(keys), np.uint8)
+            chunks.append((batch.column("chunk")[r].as_py(), s))
+            data.append(found.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int64()), pa.array([s for _, s in chunks], pa.int32()), pa.array(data, pa.binary())], names=["chunk", "slice", "data"])
+
+
+def probability(pair: np.ndarray, context: np.ndarray, single: np.ndarray, size: int) -> np.ndarray:
+    """Of a token: its bigram's share of the first word's count, interpolated with the smoothed unigram; `size` is N + V."""
+    share = context / (context + DISCOUNT * np.sqrt(context + 1))
+    return share * np.minimum(1.0, pair / np.maximum(context, 1)) + (1 - share) * (single + 1) / (size + 1)
+
+
+def _combined(size: int):
+    """Scores of the texts of a chunk: the chunk itself (with `texts`) comes first, then its levels by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, chunk, parts = None, None, []
+
+        def out() -> pa.RecordBatch:
+            row, counts = np.frombuffer(chunk["texts"], np.int64).reshape(2, -1)
+            n = middle(np.arange(256))[np.frombuffer(b"".join(parts), np.uint8)][np.frombuffer(chunk["data"], np.int32)]
+            single, pair = n[: len(n) // 2], n[len(n) // 2 :]
+            ends = np.cumsum(counts)
+            context = np.empty_like(single)
+            context[1:] = single[:-1]
+            context[ends - counts] = single[ends - 1]  # a text begins as often as one ends
+            score = np.add.reduceat(np.log10(probability(pair, context, single, size)), ends - counts)
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(score)], names=["row", "score"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                c = batch.column("chunk")[r].as_py()
+                if c != number:
+                    if chunk is not None:
+                        yield out()
+                    number, parts = c, []
+                    chunk = {name: batch.column(name)[r].as_py() for name in ("data", "texts")}
+                else:
+                    parts.append(batch.column("data")[r].as_py())
+        if chunk is not None:
+            yield out()
 
     return run
 
@@ -234,15 +344,23 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """
     v: Vocabulary = model.vocabulary.value
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    parts = texts.mapInArrow(_scores(model), f"doc_id {kind}, n_tokens long, n_known long, base double, score double, rare array<struct<token:long,times:int>>")
-    parts = written(parts.withColumn("row", F.monotonically_increasing_id()), "scores")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    parts = written(texts.mapInArrow(_asked(model.vocabulary, model.slices), _ASKED.format(kind=kind)), "asked")
+    chunks, asked = parts.where("texts is not null"), parts.where("slice is not null")
+    none = F.lit(None).cast("long")
+    held = model.filter.select("slice", "cells", none.alias("chunk"), F.col("bits").alias("data"))
+    met = held.unionByName(asked.select("slice", none.alias("cells"), "chunk", "data")).repartition(model.slices, "slice").sortWithinPartitions("slice", F.col("cells").isNull())
+    answers = written(met.mapInArrow(_answered, "chunk long, slice int, data binary"), "levels")
+    back = chunks.select("chunk", F.lit(-1).alias("slice"), "data", "texts").unionByName(answers.withColumn("texts", F.lit(None).cast("binary")))
+    scores = back.repartition("chunk").sortWithinPartitions("chunk", "slice").mapInArrow(_combined(v.total + v.distinct), "row long, score double")
+
+    parts = parts.where("row is not null")
     zero = float(np.log10(1 / (v.total + v.distinct + 1)))
     rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.times")
     found = rare.join(model.counts.hint("merge"), "token")
     more = found.groupBy("row").agg(F.sum("times").cast("long").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
     total = F.aggregate("rare", F.lit(0), lambda s, x: s + x["times"])
-    out = parts.select("row", "doc_id", "n_tokens", "n_known", "base", "score", total.alias("rare")).join(more.hint("merge"), "row", "left")
+    out = parts.select("row", "doc_id", "n_tokens", "n_known", "base", total.alias("rare")).join(scores.hint("merge"), "row").join(more.hint("merge"), "row", "left")
     # An unseen token counts log10(1/(N+V+1)); a seen one log10(c+1) more.
     base = F.col("base") + F.col("rare") * F.lit(zero) + F.coalesce("gain", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
