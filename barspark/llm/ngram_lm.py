@@ -7,9 +7,11 @@ fails, with the smoothed unigram. The weight of each side follows from how often
 
 The filter grows with the corpus: nothing is left out of it. It comes in slices by the n-gram's hash, of about
 SLICE_TOKENS training tokens each, and a slice has as many bits as its entries need. As its whole size has no bound it
-isn't broadcast whole; a task holds one slice at a time. To score, the different n-grams of about CHUNK_TOKENS tokens go
-to their slices, packed, and the levels found come back to the chunk, one byte each. Slice and n-grams (and then chunk
-and levels) meet in a task sorted, so that what is asked streams past what is held.
+isn't broadcast whole; a task holds one slice at a time. To score, the different n-grams of each CHUNK_ROWS texts go to
+their slices, packed, and the levels found come back to the chunk, one byte each. Slice and n-grams (and then texts and
+levels) meet in a task sorted, so that what is asked streams past what is held. Within a slice an n-gram is known by 32
+bits of its hash; that two share them is rarer than a false probe. Unigrams of the vocabulary (below) stand in the
+broadcast counts already, and are quantised from there.
 
 The base score, by exact counts, takes the vocabulary's part (tokens that make up at least one in VOCABULARY of all, so
 VOCABULARY at most) from broadcast counts, and joins only the other tokens' rows with the table of counts; no row of a
@@ -32,7 +34,8 @@ from .words import hashed_words, mix
 
 VOCABULARY = 500_000
 SLICE_TOKENS = 1_000_000
-CHUNK_TOKENS = 1_000_000
+GATHERED_TOKENS = 1_000_000
+CHUNK_ROWS = 256
 PROBES = 8
 STEPS = 2.0  # quantisation: steps for each doubling
 DISCOUNT = 4.0
@@ -85,13 +88,13 @@ def _keys(tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return unigrams(tokens), bigrams(before, tokens)
 
 
-def _by_slice(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the keys by slice, the slices that occur, and where each begins in that order (and the end)."""
+def _by_slice(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys by slice, their 32 bits in that order, the slices that occur, and where each begins (and the end)."""
     own = keys % np.uint64(slices)
     order = np.argsort(own, kind="stable")
     own = own[order]
     begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
-    return order, own[begin].astype(np.int32), np.append(begin, len(own))
+    return order, (keys >> np.uint64(32)).astype(np.uint32)[order], own[begin].astype(np.int32), np.append(begin, len(own))
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +105,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[begin], np.add.reduceat(n, begin) if len(begin) else n
 
 
-def _gathered(slices: int):
-    """Counts of n-grams within a part of a task's texts, packed by slice."""
+def _gathered(known: Broadcast, slices: int):
+    """Counts of bigrams, and of unigrams outside the vocabulary, within a part of a task's texts, packed by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -111,17 +114,17 @@ def _gathered(slices: int):
 
         def out() -> pa.RecordBatch:
             keys, n = _merged(held)
-            order, own, begin = _by_slice(keys, slices)
-            keys, n = keys[order], n[order].astype(np.int64)
+            order, keys, own, begin = _by_slice(keys, slices)
+            n = n[order].astype(np.int32)
             cut = list(zip(begin[:-1], begin[1:], strict=True))
             return pa.RecordBatch.from_arrays([pa.array(own), *[pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (keys, n)]], names=["slice", "keys", "n"])
 
         for batch in batches:
             for _, _, tokens, rows in _tokens(batch.column(0)):
-                for keys in _keys(tokens, rows[:-1]):
-                    held.append(np.unique(keys, return_counts=True))
+                single, pair = _keys(tokens, rows[:-1])
+                held += [np.unique(keys, return_counts=True) for keys in (single[known.value.ids(tokens) == 0], pair)]
                 size += len(tokens)
-                if size >= CHUNK_TOKENS:
+                if size >= GATHERED_TOKENS:
                     yield out()
                     held, size = [], 0
         if held:
@@ -145,7 +148,7 @@ class Slice:
     bits: np.ndarray  # eight cells in a byte
 
     def _place(self, keys: np.ndarray, level: int, probe: int) -> np.ndarray:
-        return ((mix(keys + np.uint64(level * PROBES + probe)) >> np.uint64(32)) * np.uint64(self.cells) >> np.uint64(32)).astype(np.int64)
+        return ((mix(mix(keys.astype(np.uint64)) + np.uint64(level * PROBES + probe)) >> np.uint64(32)) * np.uint64(self.cells) >> np.uint64(32)).astype(np.int64)
 
     @classmethod
     def of(cls, keys: np.ndarray, n: np.ndarray) -> Slice:
@@ -185,7 +188,7 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out()
                 parts, size = [], 0
             number = s
-            parts.append((np.frombuffer(batch.column("keys")[r].as_py(), np.uint64), np.frombuffer(batch.column("n")[r].as_py(), np.int64)))
+            parts.append((np.frombuffer(batch.column("keys")[r].as_py(), np.uint32), np.frombuffer(batch.column("n")[r].as_py(), np.int32).astype(np.int64)))
             size += len(parts[-1][0])
             if size > 4 * SLICE_TOKENS:  # one n-gram in very many tasks
                 parts = [_merged(parts)]
@@ -213,67 +216,59 @@ def train(docs: DataFrame) -> Model:
     order = np.argsort(tokens)
     known = spark.sparkContext.broadcast(Vocabulary(tokens[order], n[order], total, distinct))
     slices = max(1, -(-total // SLICE_TOKENS))
-    gathered = texts.mapInArrow(_gathered(slices), "slice int, keys binary, n binary").repartition(slices, "slice").sortWithinPartitions("slice")
+    gathered = texts.mapInArrow(_gathered(known, slices), "slice int, keys binary, n binary").repartition(slices, "slice").sortWithinPartitions("slice")
     return Model(known, slices, written(gathered.mapInArrow(_filters, "slice int, cells long, bits binary"), "filter"), counts)
 
 
-_ASKED = "row long, doc_id {kind}, n_tokens long, n_known long, base double, rare array<struct<token:long,times:int>>, chunk long, slice int, data binary, texts binary"
+def _wanted(v: Vocabulary, tokens: np.ndarray, firsts: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the tokens of a chunk: their vocabulary ids; for each bigram, and then each token outside the vocabulary, the
+    place of its level among those asked for; and what is asked: keys by slice, the slices, and where each begins."""
+    ids = v.ids(tokens)
+    single, pair = _keys(tokens, firsts)
+    keys, where = np.unique(np.concatenate([pair, single[ids == 0]]), return_inverse=True)
+    order, keys, own, begin = _by_slice(keys, slices)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    return ids, place[where], keys, own, begin
 
 
-def _asked(known: Broadcast, slices: int):
-    """Three kinds of rows: each text with its part of the base score; each chunk with its texts (row, number of tokens)
-    and, for each token, the places of the token's and the bigram's levels; and the n-grams that a chunk asks a slice for."""
+def _joined(parts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts, and the number of tokens of each."""
+    found = [(tokens, np.diff(edges)) for part in parts for _, _, tokens, edges in _tokens(part)]
+    return np.concatenate([t for t, _ in found]), np.concatenate([n for _, n in found])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = known.value
-        logs = np.log10((np.concatenate([[0], v.counts]) + 1) / (v.total + v.distinct + 1))
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size, schema = 0, None
 
-        def rows(**columns: pa.Array) -> pa.RecordBatch:
-            n = len(next(iter(columns.values())))
-            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+def _runs(numbers: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = np.append(np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])[: len(numbers)]), len(numbers))
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            row, tokens, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            first, second = _keys(tokens, np.cumsum(counts) - counts)
-            keys, where = np.unique(np.concatenate([first, second]), return_inverse=True)
-            order, own, begin = _by_slice(keys, slices)
-            place = np.empty(len(keys), np.int32)
-            place[order] = np.arange(len(keys), dtype=np.int32)
-            keys, chunk = keys[order], pa.array([int(row[0])], pa.int64())
-            yield rows(chunk=chunk, data=pa.array([place[where].tobytes()], pa.binary()), texts=pa.array([np.concatenate([row, counts]).astype(np.int64).tobytes()], pa.binary()))
+
+def _asks(known: Broadcast, slices: int):
+    """The different n-grams that each chunk of the texts (chunk, text, row) asks each slice for.
+
+    A chunk that is read in two tasks asks in two parts, known by their first rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, first, parts = None, 0, []
+
+        def out() -> pa.RecordBatch:
+            tokens, n = _joined(parts)
+            _, _, keys, own, begin = _wanted(known.value, tokens, np.cumsum(n) - n, slices)
             asked = [keys[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-            yield rows(chunk=pa.array([int(row[0])] * len(asked), pa.int64()), slice=pa.array(own), data=pa.array(asked, pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([number] * len(own), pa.int64()), pa.array([first] * len(own), pa.int64()), pa.array(own), pa.array(asked, pa.binary())], names=["chunk", "row", "slice", "data"])
 
         for batch in batches:
-            if schema is None:
-                entry = pa.list_(pa.struct([("token", pa.int64()), ("times", pa.int32())]))
-                kinds = [pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.float64(), entry, pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                schema = pa.schema(list(zip(("row", "doc_id", "n_tokens", "n_known", "base", "rare", "chunk", "slice", "data", "texts"), kinds, strict=True)))
-            number = batch.column("row").to_numpy()
-            for first, last, tokens, edges in _tokens(batch.column("text")):
-                count, n = last - first, np.diff(edges)
-                ids, row = v.ids(tokens), np.repeat(np.arange(last - first), np.diff(edges))
-                rare = ids == 0
-                base, seen = (np.bincount(row, w, count) for w in (np.where(rare, 0.0, logs[ids]), ~rare))
-                token, at = tokens[rare].view(np.int64), row[rare]
-                order = np.lexsort((token, at))
-                token, at = token[order], at[order]
-                fresh = np.ones(len(token), bool)
-                fresh[1:] = (token[1:] != token[:-1]) | (at[1:] != at[:-1])
-                begin = np.flatnonzero(fresh)
-                times = np.diff(np.concatenate([begin, [len(token)]]))
-                lists = np.concatenate([[0], np.cumsum(np.bincount(at[begin], minlength=count))]).astype(np.int32)
-                entry = pa.StructArray.from_arrays([pa.array(token[begin]), pa.array(times.astype(np.int32))], names=["token", "times"])
-                yield rows(row=batch.column("row").slice(first, count), doc_id=batch.column("doc_id").slice(first, count), n_tokens=pa.array(n.astype(np.int64)), n_known=pa.array(seen.astype(np.int64)), base=pa.array(base), rare=pa.ListArray.from_arrays(pa.array(lists), entry))
-                held.append((number[first:last], tokens, n))
-                size += len(tokens)
-                if size >= CHUNK_TOKENS:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
+            for a, b in _runs(batch.column(0).to_numpy()):
+                c = batch.column(0)[a].as_py()
+                if c != number and parts:
+                    yield out()
+                    parts = []
+                if not parts:
+                    number, first = c, batch.column(2)[a].as_py()
+                parts.append(batch.column(1).slice(a, b - a))
+        if parts:
+            yield out()
 
     return run
 
@@ -288,12 +283,12 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if cells[r] is not None:
                 number, held = s, Slice(cells[r], np.frombuffer(batch.column("data")[r].as_py(), np.uint8))
                 continue
-            keys = np.frombuffer(batch.column("data")[r].as_py(), np.uint64)
+            keys = np.frombuffer(batch.column("data")[r].as_py(), np.uint32)
             # Without a slice of that number, training saw none of these.
             found = held.read(keys) if s == number else np.zeros(len(keys), np.uint8)
-            chunks.append((batch.column("chunk")[r].as_py(), s))
+            chunks.append((batch.column("chunk")[r].as_py(), batch.column("row")[r].as_py(), s))
             data.append(found.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int64()), pa.array([s for _, s in chunks], pa.int32()), pa.array(data, pa.binary())], names=["chunk", "slice", "data"])
+        yield pa.RecordBatch.from_arrays([*[pa.array([c[k] for c in chunks], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], pa.array(data, pa.binary())], names=["chunk", "row", "slice", "data"])
 
 
 def probability(pair: np.ndarray, context: np.ndarray, single: np.ndarray, size: int) -> np.ndarray:
@@ -302,35 +297,62 @@ def probability(pair: np.ndarray, context: np.ndarray, single: np.ndarray, size:
     return share * np.minimum(1.0, pair / np.maximum(context, 1)) + (1 - share) * (single + 1) / (size + 1)
 
 
-def _combined(size: int):
-    """Scores of the texts of a chunk: the chunk itself (with `texts`) comes first, then its levels by slice."""
+def _combined(known: Broadcast, slices: int):
+    """Scores of the texts of each chunk, which come before the chunk's levels (by slice, the texts with slice -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, chunk, parts = None, None, []
+        v: Vocabulary = known.value
+        size = v.total + v.distinct
+        logs = np.log10((np.concatenate([[0], v.counts]) + 1) / (size + 1))
+        about = middle(np.concatenate([[0], levels(v.counts)]))
+        number, held, found = None, [], {}
 
-        def out() -> pa.RecordBatch:
-            row, counts = np.frombuffer(chunk["texts"], np.int64).reshape(2, -1)
-            n = middle(np.arange(256))[np.frombuffer(b"".join(parts), np.uint8)][np.frombuffer(chunk["data"], np.int32)]
-            single, pair = n[: len(n) // 2], n[len(n) // 2 :]
-            ends = np.cumsum(counts)
+        def out() -> Iterator[pa.RecordBatch]:
+            rows, texts, ids_of = (pa.concat_arrays(x) for x in zip(*held, strict=True))
+            firsts = sorted(found)
+            edges = np.append(np.searchsorted(rows.to_numpy(), firsts), len(rows))
+            for first, a, b in zip(firsts, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                yield part(texts.slice(a, b - a), ids_of.slice(a, b - a), b"".join(found[first]))
+
+        def part(text: pa.Array, doc_id: pa.Array, read: bytes) -> pa.RecordBatch:
+            tokens, n = _joined([text])
+            ends = np.cumsum(n)
+            ids, place, keys, _, _ = _wanted(v, tokens, ends - n, slices)
+            read = middle(np.arange(256))[np.frombuffer(read, np.uint8)]
+            if len(read) != len(keys):
+                raise ValueError(f"{len(read)} levels for {len(keys)} n-grams")
+            read = read[place]
+            pair, single, rare = read[: len(tokens)], about[ids], ids == 0
+            single[rare] = read[len(tokens) :]
             context = np.empty_like(single)
             context[1:] = single[:-1]
-            context[ends - counts] = single[ends - 1]  # a text begins as often as one ends
-            score = np.add.reduceat(np.log10(probability(pair, context, single, size)), ends - counts)
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(score)], names=["row", "score"])
+            context[ends - n] = single[ends - 1]  # a text begins as often as one ends
+            row = np.repeat(np.arange(len(n)), n)
+            score, base, seen = (np.bincount(row, w, len(n)) for w in (np.log10(probability(pair, context, single, size)), np.where(rare, 0.0, logs[ids]), ~rare))
+            token, at = tokens[rare].view(np.int64), row[rare]
+            order = np.lexsort((token, at))
+            token, at = token[order], at[order]
+            begin = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (at[1:] != at[:-1]))[: len(token)])
+            times = np.diff(np.append(begin, len(token)))
+            lists = np.concatenate([[0], np.cumsum(np.bincount(at[begin], minlength=len(n)))]).astype(np.int32)
+            entry = pa.StructArray.from_arrays([pa.array(token[begin]), pa.array(times.astype(np.int32))], names=["token", "times"])
+            return pa.RecordBatch.from_arrays([doc_id, pa.array(n.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(lists), entry)], names=["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
 
         for batch in batches:
-            for r in range(batch.num_rows):
-                c = batch.column("chunk")[r].as_py()
-                if c != number:
-                    if chunk is not None:
-                        yield out()
-                    number, parts = c, []
-                    chunk = {name: batch.column(name)[r].as_py() for name in ("data", "texts")}
-                else:
-                    parts.append(batch.column("data")[r].as_py())
-        if chunk is not None:
-            yield out()
+            slice_of = batch.column("slice").to_numpy()
+            for a, b in _runs(batch.column("chunk").to_numpy()):
+                c = batch.column("chunk")[a].as_py()
+                if c != number and held:
+                    yield from out()
+                    held, found = [], {}
+                number = c
+                m = a + int((slice_of[a:b] < 0).sum())
+                if m > a:
+                    held.append(tuple(batch.column(name).slice(a, m - a) for name in ("row", "text", "doc_id")))
+                for first, data in zip(batch.column("row").slice(m, b - m).to_pylist(), batch.column("data").slice(m, b - m).to_pylist(), strict=True):
+                    found.setdefault(first, []).append(data)
+        if held:
+            yield from out()
 
     return run
 
@@ -343,24 +365,25 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     give a row, as do rows with a null doc_id. An empty table gives an empty table; other columns are not read.
     """
     v: Vocabulary = model.vocabulary.value
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    parts = written(texts.mapInArrow(_asked(model.vocabulary, model.slices), _ASKED.format(kind=kind)), "asked")
-    chunks, asked = parts.where("texts is not null"), parts.where("slice is not null")
+    kind, row = docs.schema["doc_id"].dataType.simpleString(), F.monotonically_increasing_id()
+    # Written, as chunks must be the same when they are read again.
+    texts = written(docs.select(row.alias("row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("chunk", F.expr(f"row div {CHUNK_ROWS}")), "texts")
     none = F.lit(None).cast("long")
-    held = model.filter.select("slice", "cells", none.alias("chunk"), F.col("bits").alias("data"))
-    met = held.unionByName(asked.select("slice", none.alias("cells"), "chunk", "data")).repartition(model.slices, "slice").sortWithinPartitions("slice", F.col("cells").isNull())
-    answers = written(met.mapInArrow(_answered, "chunk long, slice int, data binary"), "levels")
-    back = chunks.select("chunk", F.lit(-1).alias("slice"), "data", "texts").unionByName(answers.withColumn("texts", F.lit(None).cast("binary")))
-    scores = back.repartition("chunk").sortWithinPartitions("chunk", "slice").mapInArrow(_combined(v.total + v.distinct), "row long, score double")
+    asked = texts.select("chunk", "text", "row").mapInArrow(_asks(model.vocabulary, model.slices), "chunk long, row long, slice int, data binary")
+    held = model.filter.select("slice", "cells", none.alias("chunk"), none.alias("row"), F.col("bits").alias("data"))
+    met = held.unionByName(asked.withColumn("cells", none)).repartition(model.slices, "slice").sortWithinPartitions("slice", F.col("cells").isNull())
+    answers = met.mapInArrow(_answered, "chunk long, row long, slice int, data binary")
+    back = texts.select("chunk", F.lit(-1).alias("slice"), "row", "doc_id", "text", F.lit(None).cast("binary").alias("data")).unionByName(answers.withColumns({"doc_id": F.lit(None).cast(kind), "text": F.lit(None).cast("string")}))
+    back = back.repartition("chunk").sortWithinPartitions("chunk", "slice", "row")
+    parts = back.mapInArrow(_combined(model.vocabulary, model.slices), f"doc_id {kind}, n_tokens long, n_known long, base double, score double, rare array<struct<token:long,times:int>>")
+    parts = written(parts.withColumn("row", F.monotonically_increasing_id()), "scores")
 
-    parts = parts.where("row is not null")
     zero = float(np.log10(1 / (v.total + v.distinct + 1)))
     rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.times")
     found = rare.join(model.counts.hint("merge"), "token")
     more = found.groupBy("row").agg(F.sum("times").cast("long").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
     total = F.aggregate("rare", F.lit(0), lambda s, x: s + x["times"])
-    out = parts.select("row", "doc_id", "n_tokens", "n_known", "base", total.alias("rare")).join(scores.hint("merge"), "row").join(more.hint("merge"), "row", "left")
+    out = parts.select("row", "doc_id", "n_tokens", "n_known", "base", "score", total.alias("rare")).join(more.hint("merge"), "row", "left")
     # An unseen token counts log10(1/(N+V+1)); a seen one log10(c+1) more.
     base = F.col("base") + F.col("rare") * F.lit(zero) + F.coalesce("gain", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
