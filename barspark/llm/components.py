@@ -33,5 +33,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(next_edges.distinct(), "links")
         turn += 1
         if edges.isEmpty():
-            least = labels.groupBy("component").agg(F.min("id").alias("least"))
+            # Written, so that the join below can split a component that is one hot key.
+            least = written(labels.groupBy("component").agg(F.min("id").alias("least")), "least")
             return labels.join(least.hint("merge"), "component").select("id", F.col("least").alias("component"))

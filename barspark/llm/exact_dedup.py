@@ -53,7 +53,10 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 256, digest: bool = False)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     groups = rows.where("full is not null").groupBy("full").agg(F.count("*").alias("n"), first.alias("stay")).where("n > 1")
     groups = written(groups.select("full", "n", F.col("stay.doc_id").alias("keep_id"), F.col("stay.row").alias("stay")), "groups")
-    out = rows.join(groups.hint("merge"), "full", "left")
+    # Texts that no step found alike have no hash to join by; they go by, so that they aren't one key.
+    alike = rows.where("full is not null").join(groups.hint("merge"), "full", "left")
+    lonely = rows.where("full is null").withColumns({"n": F.lit(None).cast("long"), "keep_id": F.lit(None).cast("long"), "stay": F.lit(None).cast("long")})
+    out = alike.unionByName(lonely.select(alike.columns))
     alone = F.col("n").isNull()
     columns = [
         F.col("doc_id"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import unused, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -62,15 +62,15 @@ def mix_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
     a source of its own, the last. Rows that repeat a doc_id are drawn alike. An empty table gives an empty table.
     """
     sized = docs.select(F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"))
-    rates = written(source_rates(sized), "rates")
+    rates, rate = written(source_rates(sized), "rates"), unused(docs, "rate")
     few = rates.count() <= BROADCAST_SOURCES
-    rates = rates.select(F.struct("source", "source_size", "target", "rate").alias("_rate"))
+    rates = rates.select(F.struct("source", "source_size", "target", "rate").alias(rate))
     rates = F.broadcast(rates) if few else rates.hint("merge")
-    joined = docs.join(rates, docs["source"].cast("string").eqNullSafe(F.col("_rate.source")), "left")
-    whole = F.floor("_rate.rate")
-    extra = (uniform(seed, docs["doc_id"]) < F.col("_rate.rate") - whole).cast("int")
+    joined = docs.join(rates, docs["source"].cast("string").eqNullSafe(F.col(f"{rate}.source")), "left")
+    whole = F.floor(f"{rate}.rate")
+    extra = (uniform(seed, docs["doc_id"]) < F.col(f"{rate}.rate") - whole).cast("int")
     columns = [docs[c] for c in docs.columns if c != "mix"]
-    fields = F.struct(words_in(docs["text"]).alias("size"), F.col("_rate.source_size").alias("source_size"), F.col("_rate.target").alias("target"), F.col("_rate.rate").alias("rate"), (whole + extra).cast("int").alias("copies"))
+    fields = F.struct(words_in(docs["text"]).alias("size"), F.col(f"{rate}.source_size").alias("source_size"), F.col(f"{rate}.target").alias("target"), F.col(f"{rate}.rate").alias("rate"), (whole + extra).cast("int").alias("copies"))
     return joined.select(*columns, fields.alias("mix"))
 
 

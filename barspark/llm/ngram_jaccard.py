@@ -35,7 +35,6 @@ from .words import hashed_words, mix, shingles
 SKETCH_BITS = 21
 CHUNK_BITS = 12
 HOT = 32
-BAND = 1.25
 
 
 def _chunk_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -194,7 +193,8 @@ def _column_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 def _hot_pairs(star: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents compared with one leader, of which not both are linked with it, that may still link."""
-    band = F.floor(F.log(BAND, F.col("m").cast("double"))).cast("int")
+    # Sizes that fit differ by at most 100 / percent, so by one band at most; the slack is for rounding.
+    band = F.floor(F.log(100 / min(percent, 99) + 1e-6, F.col("m").cast("double"))).cast("int")
     far = ~_reaches(F.col("both"), F.col("n") + F.col("m"), percent)
     star = star.select(F.col("a").alias("leader"), F.col("b").alias("id"), "both", "m", "rest", far.alias("far"), band.alias("band"))
     fields = F.struct("id", "both", "m", "far")
@@ -204,7 +204,7 @@ def _hot_pairs(star: DataFrame, percent: int) -> DataFrame:
     once = (F.col("p.id") != F.col("q.id")) & (~F.col("q.far") | (F.col("p.id") < F.col("q.id")))
     fit = once & _sizes_fit(F.col("p.m"), F.col("q.m"), percent)
     inside = fit & _reaches(F.least("p.both", "q.both"), sizes, percent)
-    near = one.select("leader", "p", F.explode(F.array(*[F.col("band") + k for k in (-2, -1, 0, 1, 2)])).alias("band"))
+    near = one.select("leader", "p", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
     by_leader = near.join(two.drop("rest").hint("merge"), ["leader", "band"]).where(inside).select("p", "q")
     ones, twos = (t.select("leader", c, F.explode("rest").alias("gram")) for t, c in ((one, "p"), (two, "q")))
     outside = ones.join(twos.hint("merge"), ["leader", "gram"]).where(fit).select("p", "q")
@@ -212,13 +212,13 @@ def _hot_pairs(star: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, n_links.
+    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, set_id.
 
-    component_id is the smallest doc_id reachable by links, the document's own included; n_links counts the different
-    sets that the document's set was linked with directly (through a hot column: by way of its leader). Words are
+    component_id is the smallest doc_id reachable by links, the document's own included; set_id is the smallest doc_id
+    with the same set. Words are
     `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text with fewer words than `width` has its whole sequence as its one
     shingle. Null and empty texts, and texts of white space, have no shingle: n_shingles 0, component_id their own
-    doc_id, no links. Rows that repeat a doc_id each give a row. A row with a null doc_id gets its set's class, if the
+    doc_id, as set_id, no links. Rows that repeat a doc_id each give a row. A row with a null doc_id gets its set's class, if the
     set has a doc_id at all. An empty table gives an empty table; other columns are not read.
     """
     spark = docs.sparkSession
@@ -250,8 +250,6 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     linked = _reaches(F.col("both"), F.col("n") + F.col("m"), percent)
     pairs = _column_pairs(postings, percent).unionByName(_hot_pairs(star, percent)).distinct()
     links = _counted(pairs, texts, width).where(linked).select("a", "b").unionByName(star.where(linked).select("a", "b"))
-    links = written(links.distinct(), "links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = components(links).join(degree.hint("merge"), "id")
-    per_set = written(one.join(classes.hint("merge"), "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    return own.join(per_set.hint("merge"), ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = components(written(links.distinct(), "links"))
+    per_set = written(one.join(classes.hint("merge"), "id", "left").select("n", "s1", "s2", F.col("id").alias("set_id"), F.coalesce("component", "id").alias("component_id")), "classes")
+    return own.join(per_set.hint("merge"), ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"))

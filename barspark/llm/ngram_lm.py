@@ -277,18 +277,20 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The levels of the n-grams asked for; a slice (with `cells`) comes before what asks it."""
     number, held = None, None
     for batch in batches:
-        chunks, data = [], []
-        numbers, cells = batch.column("slice").to_pylist(), batch.column("cells").to_pylist()
-        for r, s in enumerate(numbers):
-            if cells[r] is not None:
-                number, held = s, Slice(cells[r], np.frombuffer(batch.column("data")[r].as_py(), np.uint8))
-                continue
-            keys = np.frombuffer(batch.column("data")[r].as_py(), np.uint32)
-            # Without a slice of that number, training saw none of these.
-            found = held.read(keys) if s == number else np.zeros(len(keys), np.uint8)
-            chunks.append((batch.column("chunk")[r].as_py(), batch.column("row")[r].as_py(), s))
-            data.append(found.tobytes())
-        yield pa.RecordBatch.from_arrays([*[pa.array([c[k] for c in chunks], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], pa.array(data, pa.binary())], names=["chunk", "row", "slice", "data"])
+        cells, out = batch.column("cells"), []
+        for a, b in _runs(batch.column("slice").to_numpy()):
+            s = batch.column("slice")[a].as_py()
+            if cells[a].is_valid:
+                number, held = s, Slice(cells[a].as_py(), np.frombuffer(batch.column("data")[a].as_py(), np.uint8))
+                a += 1
+            asked = [np.frombuffer(x, np.uint32) for x in batch.column("data").slice(a, b - a).to_pylist()]
+            if asked:
+                keys = np.concatenate(asked)
+                # Without a slice of that number, training saw none of these.
+                found = held.read(keys) if s == number else np.zeros(len(keys), np.uint8)
+                out.append((a, b, [x.tobytes() for x in np.split(found, np.cumsum([len(x) for x in asked])[:-1])]))
+        columns = [pa.concat_arrays([batch.column(name).slice(0, 0), *(batch.column(name).slice(a, b - a) for a, b, _ in out)]) for name in ("chunk", "row", "slice")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([x for _, _, data in out for x in data], pa.binary())], names=["chunk", "row", "slice", "data"])
 
 
 def probability(pair: np.ndarray, context: np.ndarray, single: np.ndarray, size: int) -> np.ndarray:

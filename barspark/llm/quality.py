@@ -156,7 +156,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit(docs: DataFrame) -> Model:
-    """The model out of `docs` (doc_id, text), without any labels. Of an empty table: one that scores everything 0.5."""
+    """The model out of `docs` (doc_id, text), without any labels. Without rows, or without a doc_id: one that scores everything 0.5."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = dict(texts.select("text").mapInArrow(_pattern_rows, "pattern long, n long").groupBy("pattern").agg(F.sum("n")).collect())
     if not counts:
@@ -164,6 +164,8 @@ def fit(docs: DataFrame) -> Model:
     posterior, accuracy = posteriors(counts)
     sample = _sample(texts)
     rows = sample.select("text").mapInArrow(_feature_rows, "pattern long, x binary").collect()
+    if not rows:
+        return Model(posterior, accuracy, np.zeros(WIDTH + 1))
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows])
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     y = np.array([posterior.get(r.pattern, 0.5) for r in rows], np.float32)

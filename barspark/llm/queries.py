@@ -35,11 +35,16 @@ def _part(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def _held_out(n: int, remainder: int) -> Column:
+    """Rows without a doc_id are never learned from, but not held out either."""
+    return F.coalesce(_part(n) == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit(docs, _labels(spark, sf_dir).where(_part(3) != 1))
     out = toxicity.scored(docs, model)
-    return out.select("doc_id", (_part(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +88,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     out = ngram_lm.scored(docs, ngram_lm.train(docs.where(_part(7) != 2)))
-    return out.select("doc_id", (_part(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -113,9 +118,8 @@ ORACLE_SQL: dict[str, str] = {
         b AS (SELECT x, y, same FROM e UNION ALL SELECT y, x, same FROM e),
         r(id, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, b.y FROM r JOIN b ON b.x = r.o),
         c AS (SELECT id, min(o) AS component_id FROM r GROUP BY id),
-        k AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(b.y) FILTER (b.same), d.doc_id)) AS set_id FROM documents d LEFT JOIN b ON b.x = d.doc_id GROUP BY d.doc_id),
-        l AS (SELECT b.x, count(DISTINCT k.set_id) AS n_links FROM b JOIN k ON k.doc_id = b.y WHERE NOT b.same GROUP BY b.x)
-        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(l.n_links, 0) AS n_links FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.id = d.doc_id LEFT JOIN l ON l.x = d.doc_id""",
+        k AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(b.y) FILTER (b.same), d.doc_id)) AS set_id FROM documents d LEFT JOIN b ON b.x = d.doc_id GROUP BY d.doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, k.set_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.id = d.doc_id JOIN k ON k.doc_id = d.doc_id""",
     "op6_line_dedup": r"""
         WITH l AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS k, unnest(s) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
         t AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),

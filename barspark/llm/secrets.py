@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import unused
+
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -122,9 +124,9 @@ def secret_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         apart = ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
         return apart & there.rlike("[0-9]") & (_ratio(there, ratios) >= threshold)
 
-    more = _where(text.rlike(token), F.filter(_spans(text, token, 3), lambda x: random(x, F.col("_base"))))
-    found = docs.select("*", base.alias("_base")) if "_base" not in docs.columns else docs.withColumn("_base", base)
-    return found.withColumn("spans", F.array_sort(F.concat(F.col("_base"), more))).drop("_base")
+    held = unused(docs, "base")
+    more = _where(text.rlike(token), F.filter(_spans(text, token, 3), lambda x: random(x, F.col(held))))
+    return docs.select("*", base.alias(held)).withColumn("spans", F.array_sort(F.concat(F.col(held), more))).drop(held)
 
 
 def listed(spans: Column) -> Column:

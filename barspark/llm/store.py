@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _CHECKPOINT = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a new local one where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a new local one if Spark runs in one process, as in tests."""
     folder = spark.conf.get(_CHECKPOINT, None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {_CHECKPOINT} to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(_CHECKPOINT, folder)
     return folder.rstrip("/")
@@ -25,3 +28,9 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that `df` doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for k in range(len(taken) + 1) if (name := f"{stem}_{k}") not in taken)

@@ -14,8 +14,8 @@ ALONE = " ".join(f"z{k}" for k in range(60))
 def test_a_copy_without_id_comes_first(spark):
     # In one task, in this order: the copy without an id must not stand for the one with an id.
     df = spark.createDataFrame([(None, A), (5, A), (1, B)], "doc_id long, text string").coalesce(1)
-    got = {(r.doc_id, r.component_id, r.n_links) for r in jaccard_classes(df).collect()}
-    assert got == {(None, 1, 1), (5, 1, 1), (1, 1, 1)}
+    got = {(r.doc_id, r.component_id, r.set_id) for r in jaccard_classes(df).collect()}
+    assert got == {(None, 1, 5), (5, 1, 5), (1, 1, 1)}
 
 
 def test_one_row_of_each_class_stays(spark):
