@@ -36,7 +36,7 @@ def fair_value_gaps(bars: DataFrame, tf: str, pip: float, floor: float = 0.0, st
     touched = F.when(up, F.col("b_low") <= F.col("ce")).otherwise(F.col("b_high") >= F.col("ce"))
     closed = F.when(up, F.col("b_close") < F.col("bottom")).otherwise(F.col("b_close") > F.col("top"))
     found = forward(g, bars, LOOKAHEAD.get(tf, 200), "bar_index", {"ce_touched_bar": F.min(F.when(touched, F.col("b_bar_index"))), "boundary_closed_bar": F.min(F.when(closed, F.col("b_bar_index")))}, touched | closed)
-    return g.join(found, "event", "left").drop("event")
+    return g.join(found.hint("merge"), "event", "left").drop("event")
 
 
 def inverse_gaps(gaps: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def balanced_ranges(gaps: DataFrame, width: float) -> DataFrame:
     bull = celled.where("direction = 'bullish'").select(*KEY, "cell", F.col("bar_index").alias("bull_bar"), F.col("bottom").alias("b1"), F.col("top").alias("t1"))
     bear = celled.where("direction = 'bearish'").select(*KEY, "cell", F.col("bar_index").alias("bear_bar"), F.col("bottom").alias("b2"), F.col("top").alias("t2"))
     bottom, top = F.greatest("b1", "b2"), F.least("t1", "t2")
-    pairs = bull.join(bear, [*KEY, "cell"]).where((top > bottom) & (F.floor(bottom / width) == F.col("cell")))
+    pairs = bull.join(bear.hint("merge"), [*KEY, "cell"]).where((top > bottom) & (F.floor(bottom / width) == F.col("cell")))
     return pairs.select(*KEY, "bull_bar", "bear_bar", bottom.alias("bottom"), top.alias("top"))
 
 

@@ -52,4 +52,4 @@ def near_prices(swings: DataFrame, ranks: int, most: float) -> DataFrame:
     one = p.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
     two = p.select(*KEY, "side", "bucket", F.col("bar_index").alias("bar2"), F.col("price").alias("price2"), F.col("rank").alias("rank2"))
     near = (F.col("rank2") > F.col("rank")) & (F.col("rank2") < F.col("rank") + ranks) & (F.abs(F.col("price") - F.col("price2")) <= most)
-    return one.join(two, [*KEY, "side", "bucket"]).where(near).select(*KEY, "side", F.col("bar_index").alias("bar1"), "bar2", "price", "price2")
+    return one.join(two.hint("merge"), [*KEY, "side", "bucket"]).where(near).select(*KEY, "side", F.col("bar_index").alias("bar1"), "bar2", "price", "price2")

@@ -18,5 +18,6 @@ def forward(events: DataFrame, bars: DataFrame, lookahead: int, at: str, keep: d
     later = bars.select(*KEY, bucket.alias("_bucket"), *[F.col(c).alias(f"b_{c}") for c in ("bar_index", "ts_ny", "open", "high", "low", "close", "is_ghost")])
     own = F.floor(F.col(at) / lookahead)
     asked = events.withColumn("_bucket", F.explode(F.array(own, own + 1)))
-    joined = asked.join(later, [*KEY, "_bucket"]).where((F.col("b_bar_index") > F.col(at)) & (F.col("b_bar_index") <= F.col(at) + lookahead) & condition)
+    # Asked comes from explode, so its size is not known: no broadcast.
+    joined = asked.join(later.hint("merge"), [*KEY, "_bucket"]).where((F.col("b_bar_index") > F.col(at)) & (F.col("b_bar_index") <= F.col(at) + lookahead) & condition)
     return joined.groupBy("event").agg(*[c.alias(k) for k, c in keep.items()])

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .bars import KEY, series
 from .search import forward
 
+# How many bars after an order block its retests may come (the last excluded), by timeframe, and for others.
+RETESTS, OTHER_RETESTS = {"1m": 100, "5m": 50, "15m": 30}, 30
+
 
 def right_pivots(bars: DataFrame, length: int) -> DataFrame:
     """Pivots that beat the `length` bars after them, where the side changes; ghosts are none."""
@@ -40,21 +43,27 @@ def structure_breaks(bars: DataFrame, length: int, level: str) -> DataFrame:
     return e.withColumn("break_type", F.when(before.isNull() | (before == F.col("direction")), "BOS").otherwise("CHoCH")).withColumn("level", F.lit(level))
 
 
-def order_blocks(bars: DataFrame, breaks: DataFrame, retests: int = 100, back: int = 3) -> DataFrame:
-    """The nearest opposing bar among the `back` before each break, and the later bars that come back to its body."""
+def order_blocks(bars: DataFrame, breaks: DataFrame, tf: str, back: int = 3, least_body: float = 0.10) -> DataFrame:
+    """The nearest opposing bar among the `back` before each break, and the later bars that come back to its body.
+
+    `breaks` are any with symbol, tf, bar_index and direction, as from structure_shifts or structure_breaks. A bar whose
+    body is less than `least_body` of its range, or that has no range, opposes nothing. Retests are those fewer than
+    RETESTS bars after the block.
+    """
     w = series()
+    solid = (F.col("high") > F.col("low")) & (F.abs(F.col("close") - F.col("open")) / (F.col("high") - F.col("low")) >= least_body)
     candle = F.struct("bar_index", "ts_ny", "open", "high", "low", "close")
     options = {}
     for direction, opposing in (("bullish", F.col("close") < F.col("open")), ("bearish", F.col("close") > F.col("open"))):
-        fits = F.when(opposing & ~F.col("is_ghost"), candle)
+        fits = F.when(opposing & solid & ~F.col("is_ghost"), candle)
         options[direction] = F.coalesce(*[F.lag(fits, k).over(w) for k in range(1, back + 1)])
     b = bars.select(*KEY, "bar_index", *[v.alias(f"_{k}") for k, v in options.items()])
     e = breaks.join(b, [*KEY, "bar_index"]).withColumn("block", F.when(F.col("direction") == "bullish", F.col("_bullish")).otherwise(F.col("_bearish"))).where("block is not null").drop("_bullish", "_bearish")
     e = e.withColumns({"block_bar": F.col("block.bar_index"), "body_top": F.greatest("block.open", "block.close"), "body_bottom": F.least("block.open", "block.close"), "wick_top": F.col("block.high"), "wick_bottom": F.col("block.low")})
     e = e.drop("block").withColumn("event", F.struct(*KEY, "bar_index", "direction"))
     back_again = F.when(F.col("direction") == "bullish", F.col("b_low") <= F.col("body_top")).otherwise(F.col("b_high") >= F.col("body_bottom"))
-    found = forward(e, bars, retests, "block_bar", {"retests": F.array_sort(F.collect_list(F.col("b_bar_index")))}, back_again)
-    return e.join(found, "event", "left").drop("event").withColumn("retests", F.coalesce("retests", F.array().cast("array<int>")))
+    found = forward(e, bars, RETESTS.get(tf, OTHER_RETESTS) - 1, "block_bar", {"retests": F.array_sort(F.collect_list(F.col("b_bar_index")))}, back_again)
+    return e.join(found.hint("merge"), "event", "left").drop("event").withColumn("retests", F.coalesce("retests", F.array().cast("array<int>")))
 
 
 def retracements(breaks: DataFrame, levels: tuple[float, ...] = (0.618, 0.705, 0.79)) -> DataFrame:

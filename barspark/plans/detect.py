@@ -36,7 +36,7 @@ def detect(bars: DataFrame, tf: str, pip: float, params: dict[str, float] | None
     d = displacements(b, pip).drop("qualifies")
     strong = d.where(((F.col("atr_exact") >= p["atr_multiple"]) & (F.col("body_exact") >= p["body_ratio"])) | F.col("decisive"))
     place = b.select(*B.KEY, "bar_index", "ts_ny", "session", "forex_day")
-    mss = shift.structure_shifts(b, s, strong, pip, p["window"]).join(place, [*B.KEY, "bar_index"])
+    mss = shift.structure_shifts(b, s, strong, pip, p["window"]).join(place.hint("merge"), [*B.KEY, "bar_index"])
     breaks = structure.structure_breaks(b, p["internal"], "internal").unionByName(structure.structure_breaks(b, p["external"], "swing"))
     views = [
         _view(g, "fvg", "time", F.col("direction"), "ce", run),

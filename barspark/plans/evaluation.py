@@ -58,12 +58,12 @@ def compared(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
 
 
 def funnel(dets: DataFrame) -> DataFrame:
-    """Detections of each primitive against those of the primitives it builds on."""
+    """Detections of each primitive against those of the primitives it builds on; without any of these the rate is 0."""
     spark = dets.sparkSession
     n = dets.groupBy("symbol", "tf", "primitive").agg(F.count("*").alias("n"))
     edges = F.broadcast(spark.createDataFrame(list(EDGES), "primitive string, upstream string"))
     up = n.select("symbol", "tf", F.col("primitive").alias("upstream"), F.col("n").alias("n_upstream"))
-    return n.join(edges, "primitive").join(up, ["symbol", "tf", "upstream"]).select("symbol", "tf", "primitive", "upstream", "n", "n_upstream", F.round(F.col("n") / F.col("n_upstream"), 4).alias("rate"))
+    return n.join(edges, "primitive").join(up.hint("merge"), ["symbol", "tf", "upstream"], "left").select("symbol", "tf", "primitive", "upstream", "n", F.coalesce("n_upstream", F.lit(0)).alias("n_upstream"), F.coalesce(F.round(F.col("n") / F.col("n_upstream"), 4), F.lit(0.0)).alias("rate"))
 
 
 def scores(labels: DataFrame, *by: str) -> DataFrame:

@@ -135,8 +135,18 @@ def structure_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = structure.order_blocks(prepared(spark, sf_dir), _breaks(spark, sf_dir))
-    return b.select("symbol", "bar_index", "direction", "block_bar", "body_top", "body_bottom", F.size("retests").alias("n_retests"), F.try_element_at("retests", F.lit(1)).alias("first_retest"))
+    return _blocks(structure.order_blocks(prepared(spark, sf_dir), _breaks(spark, sf_dir), TF))
+
+
+def _blocks(b: DataFrame) -> DataFrame:
+    return b.select("symbol", "bar_index", "direction", "block_bar", "body_top", "body_bottom", "wick_top", "wick_bottom", F.size("retests").alias("n_retests"), F.array_join("retests", ",").alias("retests"))
+
+
+def shift_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order blocks before structure shifts."""
+    b = B.with_atr(prepared(spark, sf_dir))
+    d = displacements(b, PIP).where("(atr_exact >= 1.5 AND body_exact >= 0.6) OR decisive")
+    return _blocks(structure.order_blocks(b, shift.structure_shifts(b, _swings(spark, sf_dir), d, PIP), TF))
 
 
 def retracements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,6 +305,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session_coverage": session_coverage,
     "structure_breaks": structure_breaks,
     "order_blocks": order_blocks,
+    "shift_blocks": shift_blocks,
     "retracements": retracements,
     "per_day_stats": per_day_stats,
     "session_distribution": session_distribution,
@@ -327,7 +338,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM g LEFT JOIN p ON p.symbol = g.symbol AND p.i > g.i AND p.i <= g.i + 100 GROUP BY ALL""",
     "inverse_fvg": f"""WITH {_GAPS}, c AS (SELECT g.symbol, g.direction, g.i, min(p.i) AS at_bar FROM g JOIN p ON p.symbol = g.symbol AND p.i > g.i AND p.i <= g.i + 100 AND CASE WHEN g.direction = 'bullish' THEN p.close < g.bottom ELSE p.close > g.top END GROUP BY ALL)
         SELECT symbol, direction, count(*) AS n, round(avg(at_bar - i), 6) AS mean_bars FROM c GROUP BY ALL""",
-    "balanced_ranges": f"""WITH {_GAPS.replace("FROM p WINDOW", "FROM p WHERE day < DATE '2024-01-04' WINDOW")} SELECT u.symbol, u.i AS bull_bar, count(*) AS n, round(sum(least(u.top, d.top) - greatest(u.bottom, d.bottom)), 4) AS overlap
+    "balanced_ranges": f"""WITH {_GAPS} SELECT u.symbol, u.i AS bull_bar, count(*) AS n, round(sum(least(u.top, d.top) - greatest(u.bottom, d.bottom)), 4) AS overlap
         FROM g u JOIN g d ON d.symbol = u.symbol AND u.direction = 'bullish' AND d.direction = 'bearish' AND least(u.top, d.top) > greatest(u.bottom, d.bottom) GROUP BY ALL""",
     "body_gaps": f"""WITH {_GAPS} SELECT symbol, i AS bar_index, CASE WHEN least(open, close) > bt2 THEN 'bullish' ELSE 'bearish' END AS direction, round(CASE WHEN least(open, close) > bt2 THEN least(open, close) - bt2 ELSE bb2 - greatest(open, close) END, 2) AS gap_pips
         FROM l WHERE least(open, close) > bt2 OR greatest(open, close) < bb2""",
@@ -358,9 +369,9 @@ ORACLE_SQL: dict[str, str] = {
         FROM y LEFT JOIN p ON p.symbol = y.symbol AND p.day = y.day AND p.i > y.last GROUP BY ALL""",
     "session_coverage": f"""WITH {_BARS} SELECT symbol, strftime(day, '%Y-%m-%d') AS forex_day, session, count(*) AS bars, round(count(*) / (4.0 * CASE session WHEN 'asia' THEN 5 WHEN 'pre_london' THEN 2 WHEN 'lokz' THEN 3 WHEN 'pre_ny' THEN 2 WHEN 'nyokz' THEN 3 ELSE 9 END), 4) AS coverage FROM p GROUP BY symbol, day, session""",
     "structure_breaks": f"WITH {_BREAKS} SELECT symbol, i AS bar_index, direction, pivot_bar, pivot_price, break_type FROM br",
-    "order_blocks": f"""WITH {_BREAKS}, ob AS (SELECT br.symbol, br.i, br.direction, max(p.i) AS j FROM br JOIN p ON p.symbol = br.symbol AND p.i < br.i AND p.i >= br.i - 3 AND CASE br.direction WHEN 'bullish' THEN p.close < p.open ELSE p.close > p.open END GROUP BY ALL)
-        SELECT ob.symbol, ob.i AS bar_index, ob.direction, ob.j AS block_bar, greatest(q.open, q.close) AS body_top, least(q.open, q.close) AS body_bottom, count(r.i)::INT AS n_retests, min(r.i) AS first_retest FROM ob JOIN p q ON q.symbol = ob.symbol AND q.i = ob.j
-        LEFT JOIN p r ON r.symbol = ob.symbol AND r.i > ob.j AND r.i <= ob.j + 100 AND CASE ob.direction WHEN 'bullish' THEN r.low <= greatest(q.open, q.close) ELSE r.high >= least(q.open, q.close) END GROUP BY ALL""",
+    "order_blocks": f"""WITH {_BREAKS}, ob AS (SELECT br.symbol, br.i, br.direction, max(p.i) AS j FROM br JOIN p ON p.symbol = br.symbol AND p.i < br.i AND p.i >= br.i - 3 AND CASE br.direction WHEN 'bullish' THEN p.close < p.open ELSE p.close > p.open END AND p.high > p.low AND abs(p.close - p.open) / (p.high - p.low) >= 0.1::DOUBLE GROUP BY ALL)
+        SELECT ob.symbol, ob.i AS bar_index, ob.direction, ob.j AS block_bar, greatest(q.open, q.close) AS body_top, least(q.open, q.close) AS body_bottom, q.high AS wick_top, q.low AS wick_bottom, count(r.i)::INT AS n_retests, coalesce(string_agg(r.i, ',' ORDER BY r.i), '') AS retests FROM ob JOIN p q ON q.symbol = ob.symbol AND q.i = ob.j
+        LEFT JOIN p r ON r.symbol = ob.symbol AND r.i > ob.j AND r.i < ob.j + 30 AND CASE ob.direction WHEN 'bullish' THEN r.low <= greatest(q.open, q.close) ELSE r.high >= least(q.open, q.close) END GROUP BY ALL""",
     "retracements": f"""WITH {_BREAKS}, c AS (SELECT *, abs(close - pivot_price) AS reach, CASE direction WHEN 'bullish' THEN -1.0 ELSE 1.0 END::DOUBLE AS sgn FROM br)
         SELECT symbol, i AS bar_index, direction, round(reach, 6) AS range, round(close + sgn * reach * 0.618::DOUBLE, 6) AS level_618, round(close + sgn * reach * 0.705::DOUBLE, 6) AS level_705, round(close + sgn * reach * 0.79::DOUBLE, 6) AS level_79 FROM c WHERE reach >= 1e-10""",
     "per_day_stats": f"WITH {_DETS}, n AS (SELECT symbol, direction, day, count(*) AS n FROM d GROUP BY ALL) SELECT symbol, direction, count(*) AS days, round(avg(n), 2) AS mean_per_day, round(stddev_pop(n), 2) AS std_per_day FROM n GROUP BY ALL",

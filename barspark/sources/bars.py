@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,13 @@ def read_bars_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
 def read_bars(spark: SparkSession, root: str, symbols: list[str], start: str, end: str, zone: str = "UTC") -> DataFrame:
     """1-minute bars below root/symbol=.../date=..., only the partitions asked for, the first of equal timestamps. No such files: an empty table."""
     schema = T.StructType([*RAW.fields, T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType())])
-    raw = spark.read.schema(schema).parquet(root).where(F.col("symbol").isin(symbols) & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    try:
+        files = spark.read.schema(schema).parquet(root)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], schema)
+    raw = files.where(F.col("symbol").isin(symbols) & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     raw = raw.withColumn("timestamp", utc_time(F.col("timestamp"), zone)).groupBy("symbol", "timestamp").agg(*[F.min_by(c, "date").alias(c) for c in ("open", "high", "low", "close", "volume")])
     return _bars(raw, None)
 
