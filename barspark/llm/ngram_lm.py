@@ -34,8 +34,8 @@ from .words import hashed_words, mix
 
 VOCABULARY = 500_000
 SLICE_TOKENS = 1_000_000
-GATHERED_TOKENS = 1_000_000
-CHUNK_ROWS = 256
+GATHERED_TOKENS = 2_500_000
+CHUNK_ROWS = 1024
 PROBES = 8
 STEPS = 2.0  # quantisation: steps for each doubling
 DISCOUNT = 4.0
@@ -359,17 +359,19 @@ def _combined(known: Broadcast, slices: int):
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
+def scored(docs: DataFrame, model: Model, stable: bool = False) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs` (doc_id, text).
 
     n_known counts the tokens that training saw. base_score adds log10((c+1)/(N+V+1)) over the tokens with exact counts,
     score is the model's log10 probability. A null or empty text has one token, its end. Rows that repeat a doc_id each
-    give a row, as do rows with a null doc_id. An empty table gives an empty table; other columns are not read.
+    give a row, as do rows with a null doc_id. An empty table gives an empty table; other columns are not read. `docs` is
+    read twice; it is written first, unless it is `stable`: a scan of files, which gives the same order each time.
     """
     v: Vocabulary = model.vocabulary.value
     kind, row = docs.schema["doc_id"].dataType.simpleString(), F.monotonically_increasing_id()
     # Written, as chunks must be the same when they are read again.
-    texts = written(docs.select(row.alias("row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("chunk", F.expr(f"row div {CHUNK_ROWS}")), "texts")
+    texts = docs.select(row.alias("row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("chunk", F.expr(f"row div {CHUNK_ROWS}"))
+    texts = texts if stable else written(texts, "texts")
     none = F.lit(None).cast("long")
     asked = texts.select("chunk", "text", "row").mapInArrow(_asks(model.vocabulary, model.slices), "chunk long, row long, slice int, data binary")
     held = model.filter.select("slice", "cells", none.alias("chunk"), none.alias("row"), F.col("bits").alias("data"))
