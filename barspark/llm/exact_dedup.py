@@ -32,7 +32,8 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 256, digest: bool = False)
     norm = normalised(F.col("text"))
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm")).select("doc_id", "norm", F.length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"))
     narrow = written(keys.select("len", "prefix"), "keys")
-    lengths = narrow.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
+    # Written, so that the join can split a length that many texts have.
+    lengths = written(narrow.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len"), "lengths")
     alike = narrow.join(lengths.hint("merge"), "len", "left_semi").groupBy("len", "prefix").agg(F.count("*").alias("n")).where("n > 1")
     bit = lambda: F.pmod(F.xxhash64("len", "prefix"), F.lit(BITMAP_BITS))
     # At most BITMAP_BITS / 8 = 8 MB, whatever the input, hence the broadcast.
