@@ -59,7 +59,13 @@ def forex_bar_time(ny: Column, minutes: int) -> Column:
 
 def iso_week(day: Column) -> Column:
     """Year and week, such as 2024-W05."""
-    return F.format_string("%d-W%02d", F.expr("1").cast("int") * F.extract(F.lit("YEAROFWEEK"), day).cast("int"), F.weekofyear(day))
+    return F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), day).cast("int"), F.weekofyear(day))
+
+
+def with_iso_week(df: DataFrame, day: str = "forex_day") -> DataFrame:
+    """Adds week with its Monday and Friday; Saturdays and Sundays go."""
+    monday = F.to_date(F.date_trunc("week", day))
+    return df.where(F.dayofweek(day).between(2, 6)).withColumns({"week": iso_week(F.col(day)), "monday": monday, "friday": F.date_add(monday, 4)})
 
 
 def with_tags(bars: DataFrame) -> DataFrame:

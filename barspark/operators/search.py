@@ -1,4 +1,4 @@
-"""Bounded forward searches: the first later bar that meets an event's condition, without a join of all with all."""
+"""Forward searches: the first later bar that meets an event's condition, without a join of all with all."""
 
 from __future__ import annotations
 
@@ -21,3 +21,39 @@ def forward(events: DataFrame, bars: DataFrame, lookahead: int, at: str, keep: d
     # Asked comes from explode, so its size is not known: no broadcast.
     joined = asked.join(later.hint("merge"), [*KEY, "_bucket"]).where((F.col("b_bar_index") > F.col(at)) & (F.col("b_bar_index") <= F.col(at) + lookahead) & condition)
     return joined.groupBy("event").agg(*[c.alias(k) for k, c in keep.items()])
+
+
+def first_later(events: DataFrame, values: DataFrame, strict: bool, width: int = 64, levels: int = 2) -> DataFrame:
+    """For each event (event, symbol, tf, side, at, x) the first bar after `at` whose v is at most x, or below it if `strict`; events without one are left out.
+
+    `values` holds symbol, tf, side, bar_index and v. However far off that bar is, an event meets few rows: bars are
+    gathered in blocks of `width`, blocks in blocks of blocks, each with its least v. An event asks the rest of its own
+    block, then the rest of its block of blocks, and so on, and goes down again from the first block that holds a hit.
+    Every step is an equi-join on series and block.
+    """
+    place = [*KEY, "side"]
+    nodes = [values.select(*place, F.col("bar_index").cast("long").alias("node"), "v")]
+    for _ in range(levels):
+        nodes.append(nodes[-1].groupBy(*place, F.floor(F.col("node") / width).alias("node")).agg(F.min("v").alias("v")))
+    hit = F.col("v") < F.col("x") if strict else F.col("v") <= F.col("x")
+
+    def children(asked: DataFrame, level: int, after: Column) -> DataFrame:
+        below = nodes[level].withColumn("parent", F.floor(F.col("node") / width) if level < levels else F.lit(0).cast("long"))
+        met = asked.join(below.hint("merge"), [*place, "parent"]).where(hit & after)
+        return met.groupBy("event", *place, "at", "x").agg(F.min("node").alias("found"))
+
+    found, left = None, events.select("event", *place, F.col("at").cast("long").alias("at"), "x")
+    firsts = []
+    for level in range(levels + 1):
+        own = F.floor(F.col("at") / width**level)
+        parent = F.floor(own / width) if level < levels else F.lit(0).cast("long")
+        firsts.append(children(left.withColumn("parent", parent), level, F.col("node") > own).withColumn("level", F.lit(level)))
+    every = firsts[0]
+    for f in firsts[1:]:
+        every = every.unionByName(f)
+    nearest = every.groupBy("event", *place, "at", "x").agg(F.min_by(F.struct("level", "found"), "level").alias("n")).select("event", *place, "at", "x", "n.*")
+    found = nearest.where(F.col("level") == levels).drop("level")
+    for level in range(levels - 1, -1, -1):
+        down = children(found.withColumnRenamed("found", "parent"), level, F.lit(True))
+        found = down.unionByName(nearest.where(F.col("level") == level).drop("level"))
+    return found.select("event", F.col("found").cast("int").alias("found"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import KEY, series
@@ -82,3 +82,16 @@ def session_coverage(bars: DataFrame, bars_per_hour: int) -> DataFrame:
     hours = F.create_map(*[x for k, v in (("asia", 5), ("pre_london", 2), ("lokz", 3), ("pre_ny", 2), ("nyokz", 3), ("other", 9)) for x in (F.lit(k), F.lit(v))])
     per = bars.groupBy(*KEY, "forex_day", "session").agg(F.count("*").alias("bars"))
     return per.withColumn("coverage", F.round(F.col("bars") / (F.element_at(hours, F.col("session")) * bars_per_hour), 4))
+
+
+def session_close(session: Column, day: Column) -> Column:
+    """When asia (midnight) and lokz (five o'clock) of a forex day are over; null for others."""
+    return F.when(session == "asia", day.cast("timestamp_ntz")).when(session == "lokz", day.cast("timestamp_ntz") + F.expr("INTERVAL 5 HOURS"))
+
+
+def carried_levels(levels: DataFrame, bars: DataFrame) -> DataFrame:
+    """Levels of asia and lokz under the series' next forex day, named prev_, valid from the end of their session."""
+    days = bars.select(*KEY, "forex_day").distinct().withColumn("from_day", F.lag("forex_day").over(series("forex_day")))
+    old = levels.where(F.col("session").isin("asia", "lokz")).withColumnRenamed("forex_day", "from_day")
+    valid = session_close(F.col("session"), F.col("from_day")).alias("valid_from")
+    return old.join(days, [*KEY, "from_day"]).select(*KEY, "forex_day", "from_day", F.concat(F.lit("prev_"), "session").alias("session"), "side", "price", valid)

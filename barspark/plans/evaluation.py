@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import iso_week
 from ..functions.measures import f1, percent, precision, recall
 
 SESSIONS = ("asia", "lokz", "nyokz", "other")
-# Which primitive builds on which.
+# Composites that are expected to be rare on long timeframes, and which primitive builds on which.
+EXPECTED_SPARSE = ("mss", "order_block", "ote")
 EDGES = (("mss", "displacement"), ("mss", "swing"), ("order_block", "mss"), ("ote", "mss"), ("sweep", "level"))
 
 
@@ -29,12 +31,26 @@ def session_distribution(dets: DataFrame, *by: str) -> DataFrame:
     have = dets.groupBy(*by, "session").agg(F.count("*").alias("n"))
     spine = have.select(*by).distinct().join(F.broadcast(four), F.lit(True))
     all_ = spine.join(have, [*by, "session"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return _shares(all_, "place", *by).select(*by, "session", "n", "pct")
+
+
+def direction_distribution(dets: DataFrame, *by: str) -> DataFrame:
+    """Count and percentage of bullish and bearish, present or not, and of the other directions that occur, in order of name; rounding as in session_distribution."""
+    two = dets.sparkSession.createDataFrame([(0, "bullish"), (1, "bearish")], "place int, direction string")
+    have = dets.groupBy(*by, "direction").agg(F.count("*").alias("n"))
+    spine = have.select(*by).distinct().join(F.broadcast(two), F.lit(True))
+    all_ = spine.join(have, [*by, "direction"], "full_outer").withColumns({"n": F.coalesce("n", F.lit(0)), "place": F.struct(F.coalesce("place", F.lit(2)), "direction")})
+    return _shares(all_, "place", *by).select(*by, "direction", "n", "pct")
+
+
+def _shares(counted: DataFrame, place: str, *by: str) -> DataFrame:
+    """Adds pct, the share of n; what rounding leaves goes to the largest, the first by `place` on ties."""
     w = Window.partitionBy(*by)
-    all_ = all_.withColumn("pct", percent(F.col("n"), F.sum("n").over(w)))
+    out = counted.withColumn("pct", percent(F.col("n"), F.sum("n").over(w)))
     rest = F.round(100.0 - F.sum("pct").over(w), 1)
-    first = F.row_number().over(w.orderBy(F.desc("n"), "place"))
+    first = F.row_number().over(w.orderBy(F.desc("n"), place))
     fixed = F.when((first == 1) & (F.abs(rest) >= 0.01), F.round(F.col("pct") + rest, 1)).otherwise(F.col("pct"))
-    return all_.withColumn("_fixed", fixed).select(*by, "session", "n", F.col("_fixed").alias("pct"))
+    return out.withColumn("_fixed", fixed).drop("pct").withColumnRenamed("_fixed", "pct")
 
 
 def weekly_stats(dets: DataFrame, *by: str) -> DataFrame:
@@ -113,3 +129,100 @@ def rolling_windows(days: DataFrame, train: int, test: int, step: int) -> DataFr
     w = ends.where("a is not null").select("a", start)
     day = lambda n: F.date_add("a", F.col("k") + n)
     return w.select((F.col("k") / step).cast("int").alias("window_index"), day(0).alias("train_start"), day(train - 1).alias("train_end"), day(train).alias("test_start"), day(train + test - 1).alias("test_end"))
+
+
+def month_windows(days: DataFrame, train: int, test: int, step: int) -> DataFrame:
+    """Windows of `train` and then `test` calendar months, every `step` months from the first month of `days` (forex_day); a test part never ends after the last month."""
+    ends = days.agg(F.trunc(F.min("forex_day"), "month").alias("a"), F.trunc(F.max("forex_day"), "month").alias("b")).where("a is not null")
+    room = F.months_between("b", "a").cast("int") + 1 - train - test
+    w = ends.where(room >= 0).select("a", F.explode(F.sequence(F.lit(0), room, F.lit(step))).alias("k"))
+    month = lambda n: F.add_months("a", F.col("k") + n)
+    return w.select((F.col("k") / step).cast("int").alias("window_index"), month(0).alias("train_start"), F.date_sub(month(train), 1).alias("train_end"), month(train).alias("test_start"), F.date_sub(month(train + test), 1).alias("test_end"))
+
+
+def walk_forward_summary(results: DataFrame, *by: str) -> DataFrame:
+    """Windows, passed and failed ones, mean and population deviation of the test metric, mean change, the window with the least test metric, and the verdict."""
+    out = results.groupBy(*by).agg(
+        F.count("*").alias("windows"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.round(F.avg("test_metric"), 6).alias("mean_test_metric"),
+        F.round(F.stddev_pop("test_metric"), 6).alias("std_test_metric"), F.round(F.avg("delta"), 6).alias("mean_delta"), F.min_by("window_index", F.struct("test_metric", "window_index")).alias("worst_window"),
+    )
+    return out.withColumn("verdict", F.when(F.col("failed") == 0, "STABLE").when(F.col("passed") > F.col("failed"), "CONDITIONALLY_STABLE").otherwise("UNSTABLE"))
+
+
+def divergence(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+    """Each detection id of two runs once: Both, A only or B only."""
+    both = a.select(*by, "id", F.lit(1).alias("run")).unionByName(b.select(*by, "id", F.lit(2).alias("run")))
+    runs = both.groupBy(*by, "id").agg(F.min("run").alias("least"), F.max("run").alias("most"))
+    return runs.select(*by, "id", F.when(F.col("least") != F.col("most"), "Both").when(F.col("least") == 1, "A only").otherwise("B only").alias("status"))
+
+
+def compared_all(runs: DataFrame, *by: str) -> DataFrame:
+    """Agreement of all pairs of runs (run_id, id): ids are first counted by the set of runs that have them, so that pairs are made of such sets, not of detections."""
+    sets = runs.groupBy(*by, "id").agg(F.array_sort(F.collect_set("run_id")).alias("runs")).groupBy(*by, "runs").agg(F.count("*").alias("n"))
+    one = sets.select(*by, "n", F.explode("runs").alias("run_id")).groupBy(*by, "run_id").agg(F.sum("n").alias("ids"))
+    pair = F.explode(F.flatten(F.transform("runs", lambda x: F.transform(F.filter("runs", lambda y: y > x), lambda y: F.struct(x.alias("run_a"), y.alias("run_b")))))).alias("p")
+    agreed = sets.select(*by, "n", pair).groupBy(*by, "p.run_a", "p.run_b").agg(F.sum("n").alias("agreed"))
+    names = runs.select("run_id").distinct()
+    # Runs are few, as each is one set of parameters; where one has no detection its count is 0.
+    every = one.select(*by).distinct().join(names.select(F.col("run_id").alias("run_a")).hint("broadcast"), F.lit(True)).join(names.select(F.col("run_id").alias("run_b")).hint("broadcast"), F.col("run_a") < F.col("run_b"))
+    out = every.join(one.select(*by, F.col("run_id").alias("run_a"), F.col("ids").alias("ids_a")), [*by, "run_a"], "left").join(one.select(*by, F.col("run_id").alias("run_b"), F.col("ids").alias("ids_b")), [*by, "run_b"], "left").join(agreed.hint("merge"), [*by, "run_a", "run_b"], "left")
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("ids_a", "ids_b", "agreed")}
+    out = out.withColumns(n)
+    total = F.col("ids_a") + F.col("ids_b") - F.col("agreed")
+    return out.select(*by, "run_a", "run_b", "agreed", (F.col("ids_a") - F.col("agreed")).alias("only_a"), (F.col("ids_b") - F.col("agreed")).alias("only_b"), F.when(total == 0, 1.0).otherwise(F.round(F.col("agreed") / total, 4)).alias("agreement"))
+
+
+def stability(stats: DataFrame, outlier_weeks: DataFrame, *by: str) -> DataFrame:
+    """Flags of weekly_stats: variation above 0.5, weeks without detections, more than three outlier weeks. Rows that EXPECTED_SPARSE names are never flagged. `by` holds primitive and tf."""
+    many = outlier_weeks.groupBy(*by).agg(F.count("*").alias("outlier_weeks"))
+    out = stats.join(many, [*by], "left").withColumn("outlier_weeks", F.coalesce("outlier_weeks", F.lit(0)))
+    zero = (F.col("zero_weeks") > 0) & ((F.col("tf") != "4H") | (F.col("zero_weeks") > 5))
+    reasons = F.array_compact(F.array(F.when(F.col("cv") > 0.5, "variation"), F.when(zero, "zero weeks"), F.when(F.col("outlier_weeks") > 3, "outliers")))
+    sparse = F.col("primitive").isin(*EXPECTED_SPARSE) & F.col("tf").isin("1H", "4H")
+    return out.select(*by, "cv", "zero_weeks", "outlier_weeks", F.array_join(reasons, ", ").alias("reasons"), ((F.size(reasons) > 0) & ~sparse).alias("flagged"))
+
+
+def stability_verdict(flags: DataFrame) -> DataFrame:
+    """One row: PASS without flags, CONDITIONAL_PASS with up to 15 % of the rows flagged, else FAIL."""
+    out = flags.agg(F.count("*").alias("total"), F.count_if("flagged").alias("flagged"), F.min("cv").alias("least_cv"), F.max("cv").alias("most_cv"))
+    return out.withColumn("status", F.when(F.col("flagged") == 0, "PASS").when(F.col("flagged") <= F.col("total") * 0.15, "CONDITIONAL_PASS").otherwise("FAIL"))
+
+
+def outlier_causes(outlier_weeks: DataFrame, known: dict[str, str], deviations: float = 2.0) -> DataFrame:
+    """Adds the cause of outlier weeks (week, n, mean, std): a known event of that ISO week, else whether it has none, more or fewer than expected."""
+    events = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.create_map().cast("map<string,string>")
+    high, low = F.col("mean") + deviations * F.col("std"), F.col("mean") - deviations * F.col("std")
+    plain = F.when(F.col("n") == 0, "no detections").when(F.col("n") > high, "more than expected").when(F.col("n") < low, "fewer than expected").otherwise("within the expected range")
+    return outlier_weeks.withColumn("iso_week", iso_week(F.col("week"))).withColumn("cause", F.coalesce(F.try_element_at(events, F.col("iso_week")), plain))
+
+
+def label_summary(labels: DataFrame, *by: str) -> DataFrame:
+    """Labels in all and of each kind."""
+    return labels.groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(F.col("label") == k).alias(k.lower()) for k in ("CORRECT", "NOISE", "BORDERLINE")])
+
+
+def config_scores(labels: DataFrame, dets_a: DataFrame, dets_b: DataFrame, *by: str) -> DataFrame:
+    """Scores of the labels that each run detected, and how far B's lie above A's; null where either has none."""
+    parts = []
+    for name, dets in (("a", dets_a), ("b", dets_b)):
+        seen = labels.join(dets.select("symbol", "id").distinct().hint("merge"), ["symbol", "id"], "left_semi")
+        parts.append(scores(seen, *by).select(*by, *[F.col(c).alias(f"{c}_{name}") for c in ("precision", "recall", "f1")]))
+    both = parts[0].join(parts[1], [*by], "full_outer")
+    return both.select("*", *[(F.col(f"{c}_b") - F.col(f"{c}_a")).alias(f"delta_{c}") for c in ("precision", "recall", "f1")])
+
+
+def completion(dets: DataFrame, upstream: DataFrame, primitive_has_upstream: DataFrame, *by: str) -> DataFrame:
+    """Detections (id, upstream_refs) of a composite: complete if all they refer to exist in `upstream` (id) or, without references, if `primitive_has_upstream` has a row for the series."""
+    refs = dets.select(*by, "id", F.explode("upstream_refs").alias("ref")).distinct()
+    missing = refs.join(upstream.select(F.col("id").alias("ref")).distinct().hint("merge"), "ref", "left_anti").select(*by, "id").distinct().withColumn("_missing", F.lit(True))
+    have = primitive_has_upstream.select(*by).distinct().withColumn("_have", F.lit(True))
+    out = dets.join(missing.hint("merge"), [*by, "id"], "left").join(have, [*by], "left")
+    done = F.when(F.size("upstream_refs") > 0, F.col("_missing").isNull()).otherwise(F.col("_have").isNotNull())
+    return out.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(done).alias("complete"), F.count_if(~done).alias("incomplete"))
+
+
+def reranked(candidates: DataFrame, verdicts: DataFrame, *by: str) -> DataFrame:
+    """Candidates (run_id, score, rank) in a new order: checked and not UNSTABLE, then unchecked, then UNSTABLE; by falling score, ties by the old rank."""
+    out = candidates.join(verdicts.select(*by, "run_id", "verdict"), [*by, "run_id"], "left")
+    group = F.when(F.col("verdict").isNull(), 1).when(F.col("verdict") == "UNSTABLE", 2).otherwise(0)
+    return out.withColumn("new_rank", F.row_number().over(Window.partitionBy(*by).orderBy(group, F.desc("score"), "rank")))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.measures import fitness, precision, recall
+
 
 def combinations(spark: SparkSession, ranges: dict[str, list[float]]) -> DataFrame:
     """All combinations of the values, by paths in sorted order, with run_id, the hash of the set. As large as the product of the ranges' lengths."""
@@ -42,3 +44,18 @@ def summary(results: DataFrame, metric: str) -> DataFrame:
     w = Window.orderBy(F.desc(metric), "run_id")
     base = results.where("iteration = 0").select(F.col(metric).alias("_base"))
     return results.join(F.broadcast(base), F.lit(True)).withColumn("rank", F.row_number().over(w)).withColumn("gain", F.col(metric) - F.col("_base")).withColumn("kept", F.col("gain") > 0).drop("_base")
+
+
+def scored(labels: DataFrame, sets: DataFrame, detected: Column, paths: list[str], *by: str) -> DataFrame:
+    """Sets of parameters ranked by the fitness of the labels that each detects, ties by the sets' values.
+
+    Labels are first counted by what `detected` reads of them, so sets meet counts; a set without labels has the score 0.
+    """
+    values = [c for c in labels.columns if c not in {*by, "id", "direction", "label"}]
+    kinds = {k: F.count_if(F.col("label") == k.upper()).alias(k) for k in ("correct", "noise", "missed")}
+    cells = labels.groupBy(*by, *values).agg(*kinds.values())
+    n = [F.coalesce(F.sum(F.when(detected, F.col(k))), F.lit(0)).alias(k) for k in kinds]
+    # The sets are a literal of the caller's, as large as the product of the ranges' lengths.
+    out = cells.join(sets.hint("broadcast"), F.lit(True)).groupBy(*by, "run_id", *paths).agg(*n)
+    out = out.withColumn("score", fitness(precision(F.col("correct"), F.col("noise")), recall(F.col("correct"), F.col("missed"))))
+    return out.withColumn("rank", F.row_number().over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("score"), *paths)))
