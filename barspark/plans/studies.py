@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
-from ..operators import gaps, sessions, structure, zones
+from ..operators import gaps, pools, sessions, structure, zones
 from ..operators.displacement import displacements
 from . import evaluation as E
 from . import reports, search
@@ -29,6 +29,12 @@ def window_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.window_events(b, g, _swings(spark, sf_dir), displacements(b, PIP), 3.0).drop("tf")
 
 
+def level_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools of hours and of four hours; grouping is greedy in time, so there is no SQL."""
+    b = bars(spark, sf_dir)
+    return pools.level_pools(b, "1H", PIP).unionByName(pools.level_pools(b, "4H", PIP))
+
+
 def qualified_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.with_atr(prepared(spark, sf_dir))
     d = displacements(b, PIP).where("(atr_exact >= 1.5 AND body_exact >= 0.6) OR decisive")
@@ -167,6 +173,7 @@ def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extreme_blocks": extreme_blocks,
+    "level_pools": level_pools,
     "window_events": window_events,
     "qualified_breaks": qualified_breaks,
     "created_gaps": created_gaps,

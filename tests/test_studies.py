@@ -13,7 +13,8 @@ from barspark.plans.studies import ORACLE_SQL, QUERIES
 
 
 def test_all_have_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    # The grouping of pools is greedy in time; see test_pools.py.
+    assert set(QUERIES) - set(ORACLE_SQL) == {"level_pools"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
