@@ -84,6 +84,5 @@ def level_pools(bars: DataFrame, tf: str, pip: float) -> DataFrame:
 
     pools = rows.groupBy(*KEY, "side").applyInPandas(group, _POOL).withColumn("event", F.struct(*KEY, "side", "price", "last_bar"))
     values = b.select(*KEY, "bar_index", F.explode(F.array(F.struct(F.lit("high").alias("side"), (-F.col("high")).alias("v")), F.struct(F.lit("low").alias("side"), F.col("low").alias("v")))).alias("s")).select(*KEY, "bar_index", "s.*")
-    asked = pools.select("event", *KEY, "side", F.col("last_bar").alias("at"), F.when(F.col("side") == "high", -F.col("price")).otherwise(F.col("price")).alias("x"))
-    taken = first_later(asked, values, strict=True).withColumnRenamed("found", "taken_bar")
-    return pools.join(taken.hint("merge"), "event", "left").drop("event")
+    asked = pools.withColumns({"at": F.col("last_bar"), "x": F.when(F.col("side") == "high", -F.col("price")).otherwise(F.col("price")), "strict": F.lit(True)})
+    return first_later(asked, values).drop("event", "at", "x", "strict").withColumnRenamed("found", "taken_bar")

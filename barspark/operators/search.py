@@ -23,37 +23,30 @@ def forward(events: DataFrame, bars: DataFrame, lookahead: int, at: str, keep: d
     return joined.groupBy("event").agg(*[c.alias(k) for k, c in keep.items()])
 
 
-def first_later(events: DataFrame, values: DataFrame, strict: bool, width: int = 64, levels: int = 2) -> DataFrame:
-    """For each event (event, symbol, tf, side, at, x) the first bar after `at` whose v is at most x, or below it if `strict`; events without one are left out.
+def first_later(events: DataFrame, values: DataFrame, width: int = 64, levels: int = 2) -> DataFrame:
+    """Events (unique event, symbol, tf, side, at, x, strict, and any other columns) with `found`: the first bar after `at` whose v is at most x, or below it where `strict`; null without one.
 
     `values` holds symbol, tf, side, bar_index and v. However far off that bar is, an event meets few rows: bars are
     gathered in blocks of `width`, blocks in blocks of blocks, each with its least v. An event asks the rest of its own
     block, then the rest of its block of blocks, and so on, and goes down again from the first block that holds a hit.
-    Every step is an equi-join on series and block.
+    Every step is an equi-join on series, level and block, all with one table of blocks.
     """
-    place = [*KEY, "side"]
-    nodes = [values.select(*place, F.col("bar_index").cast("long").alias("node"), "v")]
-    for _ in range(levels):
-        nodes.append(nodes[-1].groupBy(*place, F.floor(F.col("node") / width).alias("node")).agg(F.min("v").alias("v")))
-    hit = F.col("v") < F.col("x") if strict else F.col("v") <= F.col("x")
-
-    def children(asked: DataFrame, level: int, after: Column) -> DataFrame:
-        below = nodes[level].withColumn("parent", F.floor(F.col("node") / width) if level < levels else F.lit(0).cast("long"))
-        met = asked.join(below.hint("merge"), [*place, "parent"]).where(hit & after)
-        return met.groupBy("event", *place, "at", "x").agg(F.min("node").alias("found"))
-
-    found, left = None, events.select("event", *place, F.col("at").cast("long").alias("at"), "x")
-    firsts = []
-    for level in range(levels + 1):
-        own = F.floor(F.col("at") / width**level)
-        parent = F.floor(own / width) if level < levels else F.lit(0).cast("long")
-        firsts.append(children(left.withColumn("parent", parent), level, F.col("node") > own).withColumn("level", F.lit(level)))
-    every = firsts[0]
-    for f in firsts[1:]:
-        every = every.unionByName(f)
-    nearest = every.groupBy("event", *place, "at", "x").agg(F.min_by(F.struct("level", "found"), "level").alias("n")).select("event", *place, "at", "x", "n.*")
-    found = nearest.where(F.col("level") == levels).drop("level")
-    for level in range(levels - 1, -1, -1):
-        down = children(found.withColumnRenamed("found", "parent"), level, F.lit(True))
-        found = down.unionByName(nearest.where(F.col("level") == level).drop("level"))
-    return found.select("event", F.col("found").cast("int").alias("found"))
+    up = lambda place, level: F.floor(place / width) if level < levels else F.lit(0).cast("long")
+    block = lambda column, level: F.floor(F.col(column) / width**level)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("n_level"), block("bar_index", k).alias("n_node"), up(block("bar_index", k), k).alias("n_parent")) for k in range(levels + 1)])).alias("n")
+    place = [F.col(c).alias(f"n_{c}") for c in (*KEY, "side")]
+    nodes = values.select(*place, "v", each).select(*[f"n_{c}" for c in (*KEY, "side")], "v", "n.*").groupBy(*[f"n_{c}" for c in (*KEY, "side")], "n_level", "n_parent", "n_node").agg(F.min("v").alias("v")).hint("merge")
+    same = lambda level, parent: [F.col(c) == F.col(f"n_{c}") for c in (*KEY, "side")] + [level == F.col("n_level"), parent == F.col("n_parent"), (F.col("v") < F.col("x")) | ((F.col("v") == F.col("x")) & ~F.col("strict"))]
+    own = ["event", *KEY, "side", "x", "strict"]
+    asks = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), block("at", k).alias("own"), up(block("at", k), k).alias("parent")) for k in range(levels + 1)])).alias("a")
+    asked = events.select(*own, F.struct(*events.columns).alias("row"), asks).select(*own, "row", "a.*")
+    met = asked.join(nodes, [*same(F.col("level"), F.col("parent")), F.col("n_node") > F.col("own")], "left")
+    near = met.groupBy(*own).agg(F.first("row").alias("row"), F.min(F.when(F.col("n_node").isNotNull(), F.struct("level", F.col("n_node").alias("found")))).alias("near")).select(*own, "row", "near.*")
+    for level in range(levels, 0, -1):
+        # Events that are on a lower level already ask for blocks that don't exist, spread over many.
+        here = F.coalesce(F.col("level") == level, F.lit(False))
+        parent = F.when(here, F.col("found")).otherwise(-1 - F.pmod(F.xxhash64("event"), F.lit(4096)))
+        step = near.withColumns({"ask": F.lit(level - 1), "parent": parent})
+        down = step.join(nodes, same(F.col("ask"), F.col("parent")), "left").groupBy(*own, "level", "found").agg(F.first("row").alias("row"), F.min("n_node").alias("node"))
+        near = down.select(*own, "row", F.when(here, F.lit(level - 1)).otherwise(F.col("level")).alias("level"), F.when(here, F.col("node")).otherwise(F.col("found")).alias("found"))
+    return near.select("row.*", F.col("found").cast("int").alias("found"))

@@ -28,15 +28,18 @@ def extreme_blocks(bars: DataFrame, breaks: DataFrame, multiple: float = 2.0) ->
     best = F.min(F.struct(reach.alias("reach"), "b", "high", "low")).alias("best")
     met = breaks.join(inside.hint("merge"), [*KEY, "direction", "pivot_bar"]).where(F.col("b") < F.col("bar_index")).groupBy(*KEY, "bar_index", "direction", "pivot_bar").agg(best)
     blocks = met.select(*KEY, "bar_index", "direction", "pivot_bar", F.col("best.b").alias("block_bar"), F.col("best.high").alias("zone_high"), F.col("best.low").alias("zone_low"))
-    blocks = blocks.withColumn("event", F.struct(*KEY, "bar_index", "direction"))
     up = F.col("direction") == "bullish"
-    found = blocks
-    for name, near, far, strict in (("mitigated_bar", ("low", "high"), ("zone_high", "zone_low"), False), ("invalidated_bar", ("close", "close"), ("zone_low", "zone_high"), True)):
-        values = bars.where(~F.col("is_ghost")).select(*KEY, "bar_index", F.explode(F.array(F.struct(F.lit("bullish").alias("side"), F.col(near[0]).alias("v")), F.struct(F.lit("bearish").alias("side"), (-F.col(near[1])).alias("v")))).alias("s")).select(*KEY, "bar_index", "s.*")
-        asked = blocks.select("event", *KEY, F.col("direction").alias("side"), F.col("block_bar").alias("at"), F.when(up, F.col(far[0])).otherwise(-F.col(far[1])).alias("x"))
-        found = found.join(first_later(asked, values, strict).withColumnRenamed("found", name).hint("merge"), "event", "left")
+    ask = lambda test, near, far, strict: F.struct(F.lit(test).alias("test"), F.when(up, F.col(near)).otherwise(-F.col(far)).alias("x"), F.lit(strict).alias("strict"))
+    tests = F.explode(F.array(ask("mitigated", "zone_high", "zone_low", False), ask("invalidated", "zone_low", "zone_high", True))).alias("t")
+    asked = blocks.select(*KEY, "bar_index", "direction", "pivot_bar", "block_bar", "zone_high", "zone_low", tests)
+    asked = asked.select("*", "t.*", F.concat_ws(" ", "direction", "t.test").alias("side"), F.col("block_bar").alias("at"), F.struct(*KEY, "bar_index", "direction", "t.test").alias("event")).drop("t")
+    value = lambda side, v: F.struct(F.lit(side).alias("side"), v.alias("v"))
+    seen = F.explode(F.array(value("bullish mitigated", F.col("low")), value("bearish mitigated", -F.col("high")), value("bullish invalidated", F.col("close")), value("bearish invalidated", -F.col("close")))).alias("s")
+    values = bars.where(~F.col("is_ghost")).select(*KEY, "bar_index", seen).select(*KEY, "bar_index", "s.*")
+    when = lambda test: F.max(F.when(F.col("test") == test, F.col("found"))).alias(f"{test}_bar")
+    found = first_later(asked, values).groupBy(*KEY, "bar_index", "direction", "pivot_bar", "block_bar", "zone_high", "zone_low").agg(when("mitigated"), when("invalidated"))
     state = F.when(F.col("invalidated_bar").isNotNull(), "INVALIDATED").when(F.col("mitigated_bar").isNotNull(), "MITIGATED").otherwise("ACTIVE")
-    return found.drop("event").withColumn("state", state)
+    return found.withColumn("state", state)
 
 
 def window_events(bars: DataFrame, gaps: DataFrame, swings: DataFrame, displacements: DataFrame, least_gap: float, atr: float = 1.5, body: float = 0.6) -> DataFrame:

@@ -33,14 +33,14 @@ def test_first_later_against_a_loop(spark, strict):
     rows = [("X", "1m", "bullish", k, float(rng.randint(0, 400))) for k in range(700)]
     values = spark.createDataFrame(rows, "symbol string, tf string, side string, bar_index int, v double")
     events = [(k, "X", "1m", "bullish", rng.randint(-1, 699), float(rng.randint(-1, 40))) for k in range(200)]
-    asked = spark.createDataFrame(events, "event int, symbol string, tf string, side string, at int, x double")
+    asked = spark.createDataFrame(events, "event int, symbol string, tf string, side string, at int, x double").withColumn("strict", F.lit(strict))
     expect = {}
     for e, _, _, _, at, x in events:
         hits = [r[3] for r in rows if r[3] > at and (r[4] < x if strict else r[4] <= x)]
         if hits:
             expect[e] = hits[0]
     for width, levels in ((4, 2), (8, 3), (64, 2)):
-        assert {r.event: r.found for r in first_later(asked, values, strict, width, levels).collect()} == expect
+        assert {r.event: r.found for r in first_later(asked, values, width, levels).collect()} == {e[0]: expect.get(e[0]) for e in events}
 
 
 def test_month_windows(spark):
