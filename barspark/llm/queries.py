@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ngram_lm, quality, toxicity
+from .collocations import collocations
 from .exact_dedup import exact_groups
+from .filter_audit import filter_interactions
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
 from .ngram_jaccard import jaccard_classes
+from .packing import packed
 from .secrets import listed, secret_spans
 from .sentencepiece_codec import decoded, encoded
 from .topk_search import top_k
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +95,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_documents(spark, sf_dir), WORD_TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -102,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_secret_scan": op9_secret_scan,
     "op10_lm_score": op10_lm_score,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,4 +159,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size::BIGINT AS source_size, target,
                (size * (floor(target / source_size) + (('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < target / source_size - floor(target / source_size))::INT))::BIGINT AS taken
         FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
+    "op11_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        d AS (SELECT w.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+              (len(w) < 100)::INT + 2 * (100 * list_unique(w) < 80 * len(w))::INT + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text))::INT
+              + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (first < w.doc_id)::INT AS mask FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+              list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, k, 1)) - 65)))::INT AS prior FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+        r AS (SELECT part, filter_order, step, letter,
+              sum(n) FILTER (mask & (coalesce(prior, 0) | bit) = 0) AS kept, sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(prior, 0) = 0) AS removed, sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(prior, 0) <> 0) AS redundant,
+              sum(n) FILTER (mask = bit) AS unique_fails, sum(good) FILTER (mask & bit <> 0 AND mask & coalesce(prior, 0) = 0) AS good_lost, sum(toxic) FILTER (mask & bit <> 0 AND mask & coalesce(prior, 0) = 0) AS toxic_lost
+              FROM c, s GROUP BY ALL)
+        SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+               coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r""",
+    "op12_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, m, phrase, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 5)) AS m)) GROUP BY ALL),
+        n AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY lang),
+        c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1 AND f >= 30),
+        k AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+        s AS (SELECT k.lang, k.m, k.phrase, a, k, x.f AS l, y.f AS r, (2000000 * a::HUGEINT) // (x.f + y.f) AS score FROM k JOIN g x ON x.lang = k.lang AND x.phrase = k.x JOIN g y ON y.lang = k.lang AND y.phrase = k.y),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        e AS (SELECT lang, a, unnest([array_to_string(w[1:m - 1], ' '), array_to_string(w[2:], ' ')]) AS phrase FROM c WHERE m > 2),
+        i AS (SELECT lang, phrase, max(a) AS longer FROM e GROUP BY ALL)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase COLLATE "C") AS rank, b.phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+        FROM b JOIN n ON n.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000""",
 }
