@@ -26,7 +26,7 @@ from .words import LOWER, chunks, mix
 
 LONGEST = 4
 FACTOR = 2_000_000
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 BITMAP_BITS = 1 << 26  # 8 MB
 _INSIDE = np.ones(256, bool)
 _INSIDE[[0x20, *range(0x09, 0x0E), *b".,;:!?"]] = False
