@@ -1,18 +1,20 @@
 """Structure shifts: breaks of the latest pivot that a displacement confirms, with suppression after each.
 
-What a bar needs to know is computed with windows; only the suppression, which depends on what was found before, is a
-sequential pass. It runs once for each group of `key`; give a chunk such as the ISO week in it to keep groups bounded.
+What a bar needs to know is computed with windows; the suppression depends on what was found before. But all that goes
+from one forex day into the next is how many of its first bars are still skipped, and whether either pivot that is the
+latest as the day begins was used up. So each day is folded by itself, once for each of these few states, the days of
+a series are chained by their small tables of states, and each day's branch is picked by a join.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .bars import KEY, series
 
-OUT = "symbol string, tf string, bar_index int, direction string, break_type string, pivot_bar int, pivot_price double, displacement_bar int, window_used int"
+DAY = (*KEY, "forex_day")
 
 
 def _features(bars: DataFrame, swings: DataFrame, disp: DataFrame, window: int) -> DataFrame:
@@ -39,56 +41,97 @@ def _features(bars: DataFrame, swings: DataFrame, disp: DataFrame, window: int)
 
     b = b.withColumns({"up": confirmed("bullish"), "down": confirmed("bearish")})
     names = {f"{s}_{c}": F.col(f"_{s}.{c}") for s in ("high", "low") for c in ("at", "price", "before", "before2", "lows", "highs")}
-    return b.select(*KEY, "bar_index", "high", "low", "close", "is_ghost", "forex_day", "atr", F.col("d.direction").alias("here"), F.col("up.at").alias("up_at"), F.col("up.end").alias("up_end"), F.col("down.at").alias("down_at"), F.col("down.end").alias("down_end"), *[v.alias(k) for k, v in names.items()])
+    reach = lambda c, of: F.array(*[of(c).over(w.rowsBetween(0, k)) for k in range(window + 2)])
+    b = b.withColumns({"tops": reach("high", F.max), "bottoms": reach("low", F.min)})
+    return b.select(*KEY, "bar_index", "high", "low", "close", "is_ghost", "forex_day", "atr", "tops", "bottoms", F.col("d.direction").alias("here"), F.col("up.at").alias("up_at"), F.col("up.end").alias("up_end"), F.col("down.at").alias("down_at"), F.col("down.end").alias("down_end"), *[v.alias(k) for k, v in names.items()])
 
 
-def structure_shifts(bars: DataFrame, swings: DataFrame, disp: DataFrame, pip: float, window: int = 3, pullback_pips: float = 5.0, pullback_atr: float = 0.25, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Shifts of `bars` (with atr) from `swings` and the qualifying displacements `disp`.
+def _let(values: dict[str, Column], then) -> Column:
+    """`then` of a struct of the values, each computed once."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then)[0]
+
+
+def _step(least: float, pullback_atr: float):
+    """The fold over the bars of a day. Its state: direction of the shift that suppresses (`carried` from the day before), extreme, last bar to skip, the last pivot used up of either side, and the shifts found."""
+
+    def step(s: Column, r: Column) -> Column:
+        up = s["direction"] == "bullish"
+        skip = (r["bar_index"] < 1) | (s["direction"].isNotNull() & (r["bar_index"] <= s["until"]))
+        back = F.when(up, s["extreme"] - r["low"]).otherwise(r["high"] - s["extreme"])
+        free = s["direction"].isNull() | (s["direction"] == "carried") | (back >= F.greatest(F.lit(least), pullback_atr * F.coalesce(r["atr"], F.lit(0.0)))) | (r["here"].isNotNull() & (r["here"] != s["direction"]))
+        broken = lambda side, past: r[f"{side}_at"].isNotNull() & past & ~s[f"used_{side}"].eqNullSafe(r[f"{side}_at"])
+        high, low = broken("high", r["close"] > r["high_price"]), broken("low", r["close"] < r["low_price"])
+        first = {"skip": skip, "live": ~skip & F.coalesce(free, F.lit(False)), "high": F.coalesce(high, F.lit(False)), "low": F.coalesce(low, F.lit(False))}
+        second = lambda f: {"skip": f["skip"], "live": f["live"], "high": f["live"] & f["high"], "up": f["live"] & f["high"] & r["up_at"].isNotNull(), "low": f["live"] & f["low"]}
+        third = lambda f: {"skip": f["skip"], "live": f["live"], "high": f["high"], "up": f["up"], "low": f["low"] & ~f["up"], "down": f["low"] & ~f["up"] & r["down_at"].isNotNull(), "until": F.greatest(r["bar_index"], F.when(f["up"], r["up_end"]).otherwise(r["down_end"]))}
+
+        def after(f: Column) -> Column:
+            hit, held = f["up"] | f["down"], ~f["skip"] & ~f["live"]
+            ahead = f["until"] - r["bar_index"] + 1
+            found = F.struct(
+                r["bar_index"].alias("bar_index"), F.when(f["up"], "bullish").otherwise("bearish").alias("direction"), F.when(F.when(f["up"], r["turned_up"]).otherwise(r["turned_down"]), "REVERSAL").otherwise("CONTINUATION").alias("break_type"),
+                F.when(f["up"], r["high_at"]).otherwise(r["low_at"]).alias("pivot_bar"), F.when(f["up"], r["high_price"]).otherwise(r["low_price"]).alias("pivot_price"), F.when(f["up"], r["up_at"]).otherwise(r["down_at"]).alias("displacement_bar"), F.when(f["up"], r["up_end"]).otherwise(r["down_end"]).alias("displacement_end"),
+            )
+            return F.struct(
+                F.when(f["up"], "bullish").when(f["down"], "bearish").when(f["skip"] | held, s["direction"]).alias("direction"),
+                F.when(f["up"], F.get(r["tops"], ahead - 1)).when(f["down"], F.get(r["bottoms"], ahead - 1)).when(held & up, F.greatest(s["extreme"], r["high"])).when(held, F.least(s["extreme"], r["low"])).otherwise(s["extreme"]).alias("extreme"),
+                F.when(hit, f["until"]).otherwise(s["until"]).alias("until"), F.when(f["high"], r["high_at"]).otherwise(s["used_high"]).alias("used_high"), F.when(f["low"], r["low_at"]).otherwise(s["used_low"]).alias("used_low"),
+                F.when(hit, F.concat(s["shifts"], F.array(found))).otherwise(s["shifts"]).alias("shifts"),
+            )
+
+        return _let(first, lambda f: _let(second(f), lambda g: _let(third(g), after)))
+
+    return step
+
+
+_SHIFT = "array<struct<bar_index:int,direction:string,break_type:string,pivot_bar:int,pivot_price:double,displacement_bar:int,displacement_end:int>>"
+
+
+def structure_shifts(bars: DataFrame, swings: DataFrame, disp: DataFrame, pip: float, window: int = 3, pullback_pips: float = 5.0, pullback_atr: float = 0.25, gaps: DataFrame | None = None, least_gap: float = 0.5) -> DataFrame:
+    """Shifts of `bars` (with atr) from `swings` and the qualifying displacements `disp`, confirmed from the bar before to `window` bars after (3 on short timeframes, 1 from 1H on).
 
     After a shift nothing is looked for until price comes back from its extreme by max(pullback_pips, pullback_atr ATR), an
     opposite displacement stands at the bar, or the forex day changes. A pivot that was broken is used up, confirmed or not.
+    With `gaps` (bar_index, gap_pips) there is fvg_created, too: a gap of `least_gap` pips has a bar of the displacement in its middle.
+    No group is larger than a day's bars, but for one small row for each day when the days are chained.
     """
-    least = pullback_pips * pip
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, used, state = [], set(), None
-        rows = rows.sort_values("bar_index")
-        highs, lows = dict(zip(rows.bar_index, rows.high, strict=True)), dict(zip(rows.bar_index, rows.low, strict=True))
-        for r in rows.itertuples():
-            if r.is_ghost or r.bar_index < 1:
-                continue
-            if state is not None:
-                direction, extreme, until, day = state
-                if r.bar_index <= until:
-                    continue
-                up = direction == "bullish"
-                back = extreme - r.low if up else r.high - extreme
-                free = back >= max(least, pullback_atr * (0 if pd.isna(r.atr) else r.atr))
-                free = free or (r.here is not None and r.here != direction) or r.forex_day != day
-                if not free:
-                    state = (direction, max(extreme, r.high) if up else min(extreme, r.low), until, day)
-                    continue
-                state = None
-            for direction, side, at, price, broken, disp_at, disp_end, stepped in (
-                ("bullish", "high", r.high_at, r.high_price, not pd.isna(r.high_at) and r.close > r.high_price, r.up_at, r.up_end, (r.high_before, r.high_before2, r.high_lows, lambda a, b: a < b)),
-                ("bearish", "low", r.low_at, r.low_price, not pd.isna(r.low_at) and r.close < r.low_price, r.down_at, r.down_end, (r.low_before, r.low_before2, r.low_highs, lambda a, b: a > b)),
-            ):
-                if not broken or (side, at) in used:
-                    continue
-                used.add((side, at))
-                if pd.isna(disp_at):
-                    continue
-                one, two, others, against = stepped
-                turned = not pd.isna(two) and others >= 2 and against(one, two)
-                out.append((r.symbol, r.tf, r.bar_index, direction, "REVERSAL" if turned else "CONTINUATION", int(at), price, int(disp_at), int(disp_at) - r.bar_index))
-                until = max(r.bar_index, int(disp_end))
-                span = range(r.bar_index, until + 1)
-                extreme = max(highs[k] for k in span if k in highs) if direction == "bullish" else min(lows[k] for k in span if k in lows)
-                state = (direction, extreme, until, r.forex_day)
-                break
-        return pd.DataFrame(out, columns=["symbol", "tf", "bar_index", "direction", "break_type", "pivot_bar", "pivot_price", "displacement_bar", "window_used"])
-
-    features = _features(bars, swings, disp, window)
-    if set(key) - set(features.columns):
-        features = features.withColumn("week", F.date_trunc("week", "forex_day"))
-    return features.groupBy(*key).applyInPandas(fold, OUT)
+    f = _features(bars, swings, disp, window)
+    turned = lambda one, two, others, falls: two.isNotNull() & (others >= 2) & (one < two if falls else one > two)
+    f = f.withColumns({"turned_up": turned(F.col("high_before"), F.col("high_before2"), F.col("high_lows"), True), "turned_down": turned(F.col("low_before"), F.col("low_before2"), F.col("low_highs"), False)})
+    integers = ("bar_index", "up_at", "up_end", "down_at", "down_end", "high_at", "low_at")
+    row = F.struct("bar_index", *[F.col(c).cast("int").alias(c) for c in integers[1:]], "high", "low", "close", "atr", "here", "tops", "bottoms", "high_price", "low_price", "turned_up", "turned_down")
+    f = f.withColumn("bar_index", F.col("bar_index").cast("int"))
+    days = f.groupBy(*DAY).agg(F.array_sort(F.collect_list(F.when(~F.col("is_ghost"), row))).alias("rows"), F.min("bar_index").alias("first"), F.min_by("high_at", "bar_index").cast("int").alias("high_at"), F.min_by("low_at", "bar_index").cast("int").alias("low_at"))
+    # The states in which a day can begin: bars skipped, and either pivot used up or not.
+    states = F.array(*[F.struct(F.lit(k).alias("skipped"), F.lit(h).alias("high"), F.lit(x).alias("low")) for k in range(window + 2) for h in (False, True) for x in (False, True)])
+
+    def begun(b: Column) -> Column:
+        return F.struct(
+            F.when(b["skipped"] > 0, "carried").alias("direction"), F.lit(None).cast("double").alias("extreme"), (F.col("first") + b["skipped"] - 1).cast("int").alias("until"), F.when(b["high"], F.col("high_at")).alias("used_high"), F.when(b["low"], F.col("low_at")).alias("used_low"),
+            F.array().cast(_SHIFT).alias("shifts"),
+        )
+
+    branches = F.transform(states, lambda b: F.struct(b.alias("state"), F.aggregate("rows", begun(b), _step(pullback_pips * pip, pullback_atr)).alias("end")))
+    folded = stored(days.select(*DAY, "first", "high_at", "low_at", branches.alias("branches")), "folded")
+    # Chained: what a day leaves is the state of the next. The arrays hold states only, a few numbers for each day.
+    ends = F.transform("branches", lambda b: F.struct(b["state"].alias("state"), b["end"]["until"].alias("until"), b["end"]["used_high"].alias("used_high"), b["end"]["used_low"].alias("used_low")))
+    small = folded.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("forex_day", "first", "high_at", "low_at", ends.alias("ends")))).alias("days"))
+    state = lambda d, left: F.struct(F.greatest(F.lit(0), F.least(F.lit(window + 1), left["until"] - d["first"] + 1)).alias("skipped"), F.coalesce(left["used_high"] == d["high_at"], F.lit(False)).alias("high"), F.coalesce(left["used_low"] == d["low_at"], F.lit(False)).alias("low"))
+    nothing = F.struct(F.lit(-1).alias("until"), F.lit(None).cast("int").alias("used_high"), F.lit(None).cast("int").alias("used_low"), F.array().cast("array<struct<forex_day:date,state:struct<skipped:int,high:boolean,low:boolean>>>").alias("done"))
+
+    def chain(left: Column, d: Column) -> Column:
+        def picked(x: Column) -> Column:
+            end = F.filter(d["ends"], lambda e: e["state"] == x["state"])[0]
+            return F.struct(end["until"].alias("until"), F.coalesce(end["used_high"], left["used_high"]).alias("used_high"), F.coalesce(end["used_low"], left["used_low"]).alias("used_low"), F.concat(left["done"], F.array(F.struct(d["forex_day"].alias("forex_day"), x["state"].alias("state")))).alias("done"))
+
+        return _let({"state": state(d, left)}, picked)
+
+    chosen = small.select(*KEY, F.explode(F.aggregate("days", nothing, chain, lambda s: s["done"])).alias("d")).select(*KEY, "d.*")
+    met = folded.join(chosen.hint("merge"), list(DAY))
+    shifts = F.filter("branches", lambda b: b["state"] == F.col("state"))[0]["end"]["shifts"]
+    out = met.select(*KEY, F.explode(shifts).alias("s")).select(*KEY, "s.*").withColumn("window_used", F.col("displacement_bar") - F.col("bar_index"))
+    if gaps is not None:
+        made = gaps.where(F.col("gap_pips") >= least_gap).select(*KEY, (F.col("bar_index") - 1).alias("_bar"), F.lit(True).alias("_made")).distinct()
+        each = out.withColumn("_bar", F.explode(F.array_distinct(F.array("displacement_bar", "displacement_end"))))
+        out = each.join(made.hint("merge"), [*KEY, "_bar"], "left").groupBy(*out.columns).agg(F.coalesce(F.max("_made"), F.lit(False)).alias("fvg_created"))
+    return out.drop("displacement_end")

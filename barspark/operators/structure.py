@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import map_session
 from .bars import KEY, series
 from .search import forward
 
@@ -72,3 +73,11 @@ def retracements(breaks: DataFrame, levels: tuple[float, ...] = (0.618, 0.705, 0
     sign = F.when(F.col("direction") == "bullish", -1.0).otherwise(1.0)
     prices = [F.round(F.col("close") + sign * reach * x, 6).alias(f"level_{str(x)[2:]}") for x in levels]
     return breaks.where(reach >= 1e-10).select(*KEY, "bar_index", "direction", reach.alias("range"), *prices)
+
+
+def shift_retracements(shifts: DataFrame, bars: DataFrame, levels: tuple[float, ...] = (0.618, 0.705, 0.79), gate: bool = True) -> DataFrame:
+    """The retracements of structure shifts with their break type, session and whether they are actionable: in lokz and nyokz alone, or anywhere without `gate`."""
+    at = bars.select(*KEY, "bar_index", "close", map_session(F.col("session")).alias("session"))
+    met = shifts.join(at.hint("merge"), [*KEY, "bar_index"])
+    found = retracements(met, levels).join(met.select(*KEY, "bar_index", "direction", "break_type", "session").hint("merge"), [*KEY, "bar_index", "direction"])
+    return found.withColumn("actionable", F.col("session").isin("lokz", "nyokz") | F.lit(not gate))

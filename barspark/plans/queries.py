@@ -195,7 +195,15 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structure_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.with_atr(prepared(spark, sf_dir))
     d = displacements(b, PIP).where("(atr_exact >= 1.5 AND body_exact >= 0.6) OR decisive")
-    return shift.structure_shifts(b, _swings(spark, sf_dir), d, PIP).drop("tf")
+    g = gaps.fair_value_gaps(prepared(spark, sf_dir), TF, PIP, states=False)
+    return shift.structure_shifts(b, _swings(spark, sf_dir), d, PIP, gaps=g).drop("tf")
+
+
+def shift_retracements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retracement levels of structure shifts, with whether the shift's session is one to act in."""
+    b = B.with_atr(prepared(spark, sf_dir))
+    d = displacements(b, PIP).where("(atr_exact >= 1.5 AND body_exact >= 0.6) OR decisive")
+    return structure.shift_retracements(shift.structure_shifts(b, _swings(spark, sf_dir), d, PIP), b).drop("tf")
 
 
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,6 +326,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "swing_matrix": swing_matrix,
     "walk_forward": walk_forward,
     "structure_shifts": structure_shifts,
+    "shift_retracements": shift_retracements,
     "funnel": funnel,
     "bar_integrity": bar_integrity,
 }
@@ -394,6 +403,35 @@ ORACLE_SQL: dict[str, str] = {
     "bar_integrity": f"WITH {_BARS} SELECT symbol, count(*) AS bar_count, 0::BIGINT AS ghost_count, greatest(0, count(DISTINCT ts::DATE) * 1440 - count(*)) AS gap_count, strftime(min(ts::DATE), '%Y-%m-%d') AS first_date, strftime(max(ts::DATE), '%Y-%m-%d') AS last_date FROM b GROUP BY symbol",
 }
 
+#: Bar after bar: what suppresses (dir, ext, until, its day), the last pivot used up on either side, and what was found (up, dn).
+_SHIFTS = _DISPLACEMENT + _SWINGS[len(_BARS):] + """,
+sv AS (SELECT *, lag(price) OVER q AS b1, lag(price, 2) OVER q AS b2, count(*) FILTER (side = 'low') OVER r AS lows, count(*) FILTER (side = 'high') OVER r AS highs FROM s WINDOW q AS (PARTITION BY symbol, side ORDER BY i), r AS (PARTITION BY symbol ORDER BY i RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+dd AS (SELECT symbol, i AS a, i + pair::INT AS e, up, unnest(list_distinct([i, i + pair::INT])) AS b FROM f WHERE (am >= 1.5 AND bo >= 0.6) OR decisive),
+cu AS (SELECT p.symbol, p.i, up, arg_min(a, b) AS a, arg_min(e, b) AS e FROM p JOIN dd ON dd.symbol = p.symbol AND dd.b BETWEEN p.i - 1 AND p.i + 3 AND (dd.b >= p.i OR dd.e >= p.i) GROUP BY ALL),
+mx AS (SELECT symbol, i, day, high, low, close, [max(high) OVER w0, max(high) OVER w1, max(high) OVER w2, max(high) OVER w3, max(high) OVER w4] AS tops, [min(low) OVER w0, min(low) OVER w1, min(low) OVER w2, min(low) OVER w3, min(low) OVER w4] AS bots FROM p
+      WINDOW w0 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN CURRENT ROW AND CURRENT ROW), w1 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), w2 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING),
+      w3 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), w4 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+ft AS MATERIALIZED (SELECT mx.*, coalesce(atr.atr, 0) AS atr, hs.i AS hi, hs.price AS hp, coalesce(hs.lows >= 2 AND hs.b1 < hs.b2, FALSE) AS tu, lo.i AS li, lo.price AS lp, coalesce(lo.highs >= 2 AND lo.b1 > lo.b2, FALSE) AS td, bu.a AS ua, bu.e AS ue, be.a AS da, be.e AS de, hd.up AS here
+      FROM mx LEFT JOIN a atr ON atr.symbol = mx.symbol AND atr.i = mx.i ASOF LEFT JOIN (SELECT * FROM sv WHERE side = 'high') hs ON hs.symbol = mx.symbol AND mx.i > hs.i ASOF LEFT JOIN (SELECT * FROM sv WHERE side = 'low') lo ON lo.symbol = mx.symbol AND mx.i > lo.i
+      LEFT JOIN cu bu ON bu.symbol = mx.symbol AND bu.i = mx.i AND bu.up LEFT JOIN cu be ON be.symbol = mx.symbol AND be.i = mx.i AND NOT be.up LEFT JOIN dd hd ON hd.symbol = mx.symbol AND hd.b = mx.i),
+sf(symbol, i, dir, ext, until, uh, ul, sday, up, dn) AS (SELECT symbol, 0::BIGINT, NULL::BOOLEAN, NULL::DOUBLE, -1::BIGINT, -1::BIGINT, -1::BIGINT, NULL::DATE, FALSE, FALSE FROM ft WHERE i = 0 UNION ALL
+  SELECT symbol, i, CASE WHEN up THEN TRUE WHEN dn THEN FALSE WHEN skip OR NOT live THEN dir END, CASE WHEN up THEN tops[(upto - i + 1)] WHEN dn THEN bots[(upto - i + 1)] WHEN skip OR live THEN ext WHEN dir THEN greatest(ext, high) ELSE least(ext, low) END,
+      CASE WHEN up OR dn THEN upto ELSE until END, CASE WHEN hb THEN hi ELSE uh END, CASE WHEN lb AND NOT up THEN li ELSE ul END, CASE WHEN up OR dn THEN day ELSE sday END, up, dn
+  FROM (SELECT *, greatest(i, CASE WHEN up THEN ue ELSE de END) AS upto FROM (SELECT *, hb AND ua IS NOT NULL AS up, lb AND da IS NOT NULL AND NOT (hb AND ua IS NOT NULL) AS dn FROM
+    (SELECT *, live AND coalesce(close > hp AND hi <> uh, FALSE) AS hb, live AND coalesce(close < lp AND li <> ul, FALSE) AS lb FROM
+    (SELECT *, NOT skip AND (dir IS NULL OR CASE WHEN dir THEN ext - low ELSE high - ext END >= greatest(5.0, 0.25 * atr) OR coalesce(here <> dir, FALSE) OR day <> sday) AS live FROM
+    (SELECT ft.*, sf.dir, sf.ext, sf.until, sf.uh, sf.ul, sf.sday, sf.dir IS NOT NULL AND ft.i <= sf.until AS skip FROM sf JOIN ft ON ft.symbol = sf.symbol AND ft.i = sf.i + 1))))) z),
+sh AS (SELECT ft.symbol, ft.i, CASE WHEN sf.up THEN 'bullish' ELSE 'bearish' END AS direction, CASE WHEN CASE WHEN sf.up THEN tu ELSE td END THEN 'REVERSAL' ELSE 'CONTINUATION' END AS break_type, CASE WHEN sf.up THEN hi ELSE li END AS pivot_bar,
+      CASE WHEN sf.up THEN hp ELSE lp END AS pivot_price, CASE WHEN sf.up THEN ua ELSE da END AS displacement_bar, CASE WHEN sf.up THEN ue ELSE de END AS displacement_end FROM sf JOIN ft ON ft.symbol = sf.symbol AND ft.i = sf.i WHERE sf.up OR sf.dn)"""
+ORACLE_SQL["structure_shifts"] = f"""WITH RECURSIVE {_SHIFTS}, made AS (SELECT DISTINCT symbol, i - 1 AS b FROM (SELECT symbol, bar_index AS i, gap_pips FROM ({ORACLE_SQL["fvg"]})) WHERE gap_pips >= 0.5)
+    SELECT symbol, i::INT AS bar_index, direction, break_type, pivot_bar::INT AS pivot_bar, pivot_price, displacement_bar::INT AS displacement_bar, (displacement_bar - i)::INT AS window_used,
+    EXISTS (SELECT 1 FROM made WHERE made.symbol = sh.symbol AND made.b IN (sh.displacement_bar, sh.displacement_end)) AS fvg_created FROM sh"""
+ORACLE_SQL["shift_blocks"] = ORACLE_SQL["order_blocks"].replace(f"WITH {_BREAKS}", f"WITH RECURSIVE {_SHIFTS}, br AS (SELECT symbol, i, direction FROM sh)")
+ORACLE_SQL["shift_retracements"] = f"""WITH RECURSIVE {_SHIFTS}, c AS (SELECT sh.*, p.close, p.session, p.day, abs(p.close - pivot_price) AS reach, CASE direction WHEN 'bullish' THEN -1.0 ELSE 1.0 END::DOUBLE AS sgn FROM sh JOIN p ON p.symbol = sh.symbol AND p.i = sh.i)
+    SELECT symbol, i::INT AS bar_index, direction, break_type, round(reach, 6) AS range, round(close + sgn * reach * 0.618::DOUBLE, 6) AS level_618, round(close + sgn * reach * 0.705::DOUBLE, 6) AS level_705, round(close + sgn * reach * 0.79::DOUBLE, 6) AS level_79,
+    session IN ('lokz', 'nyokz') AS actionable, CASE WHEN session IN ('asia', 'lokz', 'nyokz') THEN session ELSE 'other' END AS session FROM c WHERE reach >= 1e-10"""
+ORACLE_SQL["funnel"] = f"""WITH RECURSIVE {_SHIFTS}, fn AS (SELECT symbol, 'displacement' AS primitive, count(*) AS n FROM f WHERE (am >= 1.5 AND bo >= 0.6) OR decisive GROUP BY symbol UNION ALL SELECT symbol, 'swing', count(*) FROM s GROUP BY symbol UNION ALL SELECT symbol, 'mss', count(*) FROM sh GROUP BY symbol)
+    SELECT x.symbol, x.primitive, y.primitive AS upstream, x.n, y.n AS n_upstream, round(x.n::DOUBLE / y.n, 4) AS rate FROM fn x JOIN fn y ON y.symbol = x.symbol AND x.primitive = 'mss' AND y.primitive IN ('displacement', 'swing')"""
 ORACLE_SQL["detection_counts"] = " UNION ALL ".join(f"SELECT symbol, '{p}' AS primitive, count(*) AS n FROM ({ORACLE_SQL[q]}) GROUP BY symbol" for p, q in (("fvg", "fvg"), ("swing", "swings"), ("displacement", "displacement")))
 ORACLE_SQL["weekly_outliers"] = f"""WITH {_DETS}, v AS (SELECT symbol, date_trunc('week', day)::DATE AS week, count(*) AS n FROM d WHERE gap >= 20 GROUP BY ALL)
     SELECT v.symbol, strftime(v.week, '%Y-%m-%d') AS week, v.n FROM v JOIN ({ORACLE_SQL["weekly_stats"]}) s ON s.symbol = v.symbol WHERE abs(v.n - s.mean) > s.std"""

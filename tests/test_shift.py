@@ -2,11 +2,13 @@
 
 import random
 
+import pytest
 from test_operators import make
 
 from barspark.operators import bars as B
 from barspark.operators import pivots
 from barspark.operators.displacement import displacements
+from barspark.operators.gaps import fair_value_gaps
 from barspark.operators.shift import structure_shifts
 
 
@@ -48,13 +50,24 @@ def loop(bars, swings, disp, window, pullback, factor):
     return out
 
 
-def test_structure_shifts(spark):
-    rng, rows, c = random.Random(9), [], 100.0
-    for k in range(1500):
+def random_bars(spark, seed, n, step):
+    rng, rows, c = random.Random(seed), [], 100.0
+    for k in range(n):
         o, c = c, c + rng.gauss(0, 1.5)
-        rows.append((o, max(o, c) + rng.random() / 2, min(o, c) - rng.random() / 2, c, 0 if k % 50 == 7 else 10))
-    bars = B.with_atr(make(spark, rows)).cache()
+        rows.append((o, max(o, c) + rng.random() / 2, min(o, c) - rng.random() / 2, c, 0 if k % 50 == 7 or rng.random() < 0.02 else 10))
+    return B.with_atr(make(spark, rows, step)).cache()
+
+
+@pytest.mark.parametrize(("seed", "n", "step", "window"), [(9, 1500, 1, 3), (10, 600, 60, 1), (11, 900, 240, 3)])
+def test_structure_shifts(spark, seed, n, step, window):
+    """Days of 1,440, 24 and 6 bars, so that suppression and used pivots often go on into the next day."""
+    bars = random_bars(spark, seed, n, step)
     swings, disp = pivots.swings(bars, 2, 20, 1.0), displacements(bars, 1.0).where("(atr_exact >= 1.5 AND body_exact >= 0.6) OR decisive")
-    got = [(r.bar_index, r.direction, r.break_type, r.pivot_bar, r.displacement_bar) for r in structure_shifts(bars, swings, disp, 1.0).orderBy("bar_index").collect()]
-    want = loop(bars.orderBy("bar_index").collect(), swings.orderBy("bar_index", "side").collect(), disp.orderBy("bar_index").collect(), 3, 5.0, 0.25)
+    gaps = fair_value_gaps(bars, "1m", 1.0, states=False)
+    found = structure_shifts(bars, swings, disp, 1.0, window, gaps=gaps).orderBy("bar_index").collect()
+    got = [(r.bar_index, r.direction, r.break_type, r.pivot_bar, r.displacement_bar) for r in found]
+    want = loop(bars.orderBy("bar_index").collect(), swings.orderBy("bar_index", "side").collect(), disp.orderBy("bar_index").collect(), window, 5.0, 0.25)
     assert len(want) > 20 and got == want
+    ends, made = {r.bar_index: r.bar_index_end for r in disp.collect()}, {r.bar_index - 1 for r in gaps.where("gap_pips >= 0.5").collect()}
+    assert [r.fvg_created for r in found] == [any(k in made for k in range(r.displacement_bar, ends[r.displacement_bar] + 1)) for r in found]
+    assert len({r.fvg_created for r in found}) == 2
