@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import iso_week
 from ..functions.measures import f1, percent, precision, recall
+from ..operators.sweeps import in_chunks, of_chunks
+from ..sources.store import stored
 
 SESSIONS = ("asia", "lokz", "nyokz", "other")
 # Composites that are expected to be rare on long timeframes, and which primitive builds on which.
@@ -122,6 +126,29 @@ def walk_forward(dets: DataFrame, windows: DataFrame, most_pct: float, *by: str)
     return out.withColumns({"delta": F.col("test_metric") - F.col("train_metric"), "delta_pct": change}).withColumn("passed", F.coalesce(F.abs("delta_pct") <= most_pct, F.lit(True)))
 
 
+def fresh_walk_forward(bars: DataFrame, windows: DataFrame, detect: Callable[[DataFrame], DataFrame], most_pct: float, metric: Column | None = None) -> DataFrame:
+    """Walk-forward with a run of its own for each window's train and test part, so that ATR, pivots and states start anew at their edges.
+
+    `windows` as for walk_forward; `detect` takes bars (symbol, tf, ts_ny, tags, prices) and gives detections with symbol;
+    `metric` is an aggregate over these, their number if it is None. A window counts for the symbols that have bars in both
+    parts; without detections its metric is 0. The change is null where the train part has 0, which passes. Bars meet
+    windows day by day, so that a window's length doesn't matter, and a bar is copied once for each window that it lies in.
+    """
+    days = [windows.select("window_index", F.lit(n).alias("part"), F.explode(F.sequence(f"{n}_start", f"{n}_end")).alias("forex_day")) for n in ("train", "test")]
+    # Days come from explode, so their number is not known: no broadcast.
+    met = bars.join(days[0].unionByName(days[1]).hint("merge"), "forex_day")
+    chunked = stored(in_chunks(met, F.concat_ws(":", F.col("window_index").cast("string"), "part")).drop("window_index", "part"), "windows")
+    there = chunked.select("symbol").distinct()
+    found = detect(chunked).groupBy("symbol").agg((F.count("*") if metric is None else metric).cast("double").alias("m"))
+    each = of_chunks(there.join(found.hint("merge"), "symbol", "left"))
+    each = each.withColumns({"window_index": F.split_part("chunk", F.lit(":"), F.lit(1)).cast("int"), "part": F.split_part("chunk", F.lit(":"), F.lit(2)), "m": F.coalesce("m", F.lit(0.0))})
+    of = lambda name: F.max(F.when(F.col("part") == name, F.col("m")))
+    out = each.groupBy("symbol", "window_index").agg(of("train").alias("train_metric"), of("test").alias("test_metric")).where("train_metric is not null and test_metric is not null")
+    delta = F.col("test_metric") - F.col("train_metric")
+    change = F.when(F.col("train_metric") != 0, F.round(delta * 100.0 / F.nullif("train_metric", F.lit(0.0)), 2))
+    return out.withColumns({"delta": delta, "delta_pct": change}).withColumn("passed", F.coalesce(F.abs("delta_pct") <= most_pct, F.lit(True)))
+
+
 def rolling_windows(days: DataFrame, train: int, test: int, step: int) -> DataFrame:
     """Windows of `train` and then `test` days, every `step` days, over the range of `days` (forex_day); one row for each window."""
     ends = days.agg(F.min("forex_day").alias("a"), F.max("forex_day").alias("b"))
