@@ -42,6 +42,13 @@ def _chunk_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndar
         yield first, last, *shingles(words, rows, width)
 
 
+def _digests(grams: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for the set of each text."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams)])
+    others = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(0x5DEECE66D)))])
+    return tuple((x[rows[1:]] - x[rows[:-1]]).view(np.int64) for x in (sums, others))
+
+
 def _summary(width: int):
     """Per text: set size and 128 bits of the set; per task: how often each cell of the sketch was met."""
     cells, chunk = 1 << SKETCH_BITS, 1 << CHUNK_BITS
@@ -51,15 +58,14 @@ def _summary(width: int):
         for batch in batches:
             for first, last, grams, rows in _chunk_sets(batch.column(1), width):
                 np.add.at(counts, grams >> np.uint64(64 - SKETCH_BITS), np.uint32(1))
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams)])
-                others = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(0x5DEECE66D)))])
+                s1, s2 = _digests(grams, rows)
                 n = last - first
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, n),
                         pa.array(np.diff(rows).astype(np.int64)),
-                        pa.array((sums[rows[1:]] - sums[rows[:-1]]).view(np.int64)),
-                        pa.array((others[rows[1:]] - others[rows[:-1]]).view(np.int64)),
+                        pa.array(s1),
+                        pa.array(s2),
                         pa.nulls(n, pa.int32()),
                         pa.nulls(n, pa.binary()),
                         pa.nulls(n, pa.binary()),
@@ -94,14 +100,15 @@ def _prefixes(width: int, percent: int, levels: np.ndarray):
     """The first n - ceil(t n) + 1 n-grams of each set in the global order, with their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # copies within a task give their n-grams once
+        seen: set[tuple[int, int, int]] = set()  # copies within a task give their n-grams once
         for batch in batches:
-            for first, last, grams, rows in _chunk_sets(batch.column(1), width):
+            for _, _, grams, rows in _chunk_sets(batch.column(0), width):
                 order = _order(grams, levels)
                 parts, sizes = [], np.diff(rows)
                 kept = np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + 1, 0)
+                s1, s2 = _digests(grams, rows)
                 for r in np.flatnonzero(kept):
-                    same = (int(sizes[r]), int(grams[rows[r] : rows[r + 1]].sum()))
+                    same = (int(sizes[r]), int(s1[r]), int(s2[r]))
                     if same in seen:
                         kept[r] = 0
                         continue
@@ -109,12 +116,11 @@ def _prefixes(width: int, percent: int, levels: np.ndarray):
                     span = order[rows[r] : rows[r + 1]]
                     parts.append(rows[r] + np.argsort(span, kind="stable")[: kept[r]])
                 pick = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-                row = np.repeat(np.arange(last - first), kept)
+                row = np.repeat(np.arange(len(kept)), kept)
                 starts = np.cumsum(kept) - kept
-                ids = batch.column(0).slice(first, last - first).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[pick].view(np.int64)), ids, pa.array(sizes[row].astype(np.int32)), pa.array((np.arange(len(row)) - starts[row]).astype(np.int32))],
-                    names=["gram", "id", "n", "pos"],
+                    [pa.array(grams[pick].view(np.int64)), pa.array(s1[row]), pa.array(s2[row]), pa.array(sizes[row].astype(np.int32)), pa.array((np.arange(len(row)) - starts[row]).astype(np.int32))],
+                    names=["gram", "s1", "s2", "n", "pos"],
                 )
 
     return run
@@ -123,9 +129,10 @@ def _prefixes(width: int, percent: int, levels: np.ndarray):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, grams, rows in _chunk_sets(batch.column(1), width):
+            for _, _, grams, rows in _chunk_sets(batch.column(0), width):
                 sets = [grams[a:b].tobytes() for a, b in zip(rows[:-1], rows[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sets, pa.binary())], names=["id", "grams"])
+                s1, s2 = _digests(grams, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(rows).astype(np.int64)), pa.array(s1), pa.array(s2), pa.array(sets, pa.binary())], names=["n", "s1", "s2", "grams"])
 
     return run
 
@@ -158,14 +165,16 @@ def _overlaps(rest_of: tuple[int, Broadcast] | None):
     return run
 
 
-def _counted(pairs: DataFrame, texts: DataFrame, width: int, rest_of: tuple[int, Broadcast] | None = None) -> DataFrame:
-    """Exact overlaps of distinct pairs (a, b); only the texts that occur in a pair are read for it."""
+def _counted(pairs: DataFrame, texts: DataFrame, one: DataFrame, width: int, rest_of: tuple[int, Broadcast] | None = None) -> DataFrame:
+    """Exact overlaps of distinct pairs (a, b) of sets; only texts with the doc_id of a set in a pair are read for it."""
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = texts.join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-    sets = written(needed.select("id", "text").mapInArrow(_sets(width), "id long, grams binary"), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")).hint("merge")
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y")).hint("merge")
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    asked = written(one.join(keys.hint("shuffle_hash"), "key", "left_semi"), "asked")
+    needed = texts.join(asked.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").select("text").mapInArrow(_sets(width), "n long, s1 long, s2 long, grams binary")
+    # A doc_id may stand for other texts, too; only the sets asked for stay, each once.
+    sets = written(needed.join(asked.drop("id").hint("shuffle_hash"), ["n", "s1", "s2"]).select("key", "grams").dropDuplicates(["key"]), "sets")
+    left = sets.select(F.col("key").alias("a"), F.col("grams").alias("x")).hint("merge")
+    right = sets.select(F.col("key").alias("b"), F.col("grams").alias("y")).hint("merge")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_overlaps(rest_of), "a long, b long, both long, n long, m long, rest array<long>")
 
 
@@ -218,7 +227,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     with the same set. Words are
     `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text with fewer words than `width` has its whole sequence as its one
     shingle. Null and empty texts, and texts of white space, have no shingle: n_shingles 0, component_id their own
-    doc_id, as set_id, no links. Rows that repeat a doc_id each give a row. A row with a null doc_id gets its set's class, if the
+    doc_id, as set_id, no links. Rows that repeat a doc_id each give a row, with the class of their own text. A row with a null doc_id gets its set's class, if the
     set has a doc_id at all. An empty table gives an empty table; other columns are not read.
     """
     spark = docs.sparkSession
@@ -232,24 +241,27 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = spark.sparkContext.broadcast(levels.reshape(-1))
 
     own = summary.where("chunk is null").select("doc_id", "n", "s1", "s2")
-    one = written(own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id")).where("id is not null"), "representatives")
+    # A set goes by a number of its own, as its smallest doc_id may be that of other sets, too.
+    one = own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id")).where("id is not null")
+    one = written(one.withColumn("key", F.monotonically_increasing_id()), "representatives")
 
     def prefixes(batches, known=known):
         return _prefixes(width, percent, known.value)(batches)
 
     # Rows without an id stand for no set; of copies in a task, only the first gives its n-grams.
-    found = written(texts.where("id is not null").mapInArrow(prefixes, "gram long, id long, n int, pos int"), "prefixes")
+    found = written(texts.where("id is not null").select("text").mapInArrow(prefixes, "gram long, s1 long, s2 long, n int, pos int"), "prefixes")
     shared = found.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1").select("gram")
-    sets_of = own.where("n > 0").join(one.withColumnRenamed("id", "set_id").hint("merge"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("id"), "set_id").distinct()
-    rows = found.join(shared.hint("merge"), "gram").join(sets_of.hint("merge"), "id")
-    rows = written(rows.select("gram", F.col("set_id").alias("id"), "n", "pos").distinct(), "shared")
+    rows = found.join(shared.hint("merge"), "gram").join(one.drop("id").hint("merge"), ["n", "s1", "s2"])
+    rows = written(rows.select("gram", F.col("key").alias("id"), "n", "pos").distinct(), "shared")
     columns = rows.groupBy("gram").agg(F.count("*").alias("docs"), F.min("id").alias("leader")).where("docs > 1")
     postings = written(rows.join(columns.hint("merge"), "gram"), "postings")
     hot = postings.where(F.col("docs") > HOT)
-    star = written(_counted(hot.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), texts, width, (percent, known)), "star")
+    star = written(_counted(hot.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), texts, one, width, (percent, known)), "star")
     linked = _reaches(F.col("both"), F.col("n") + F.col("m"), percent)
     pairs = _column_pairs(postings, percent).unionByName(_hot_pairs(star, percent)).distinct()
-    links = _counted(pairs, texts, width).where(linked).select("a", "b").unionByName(star.where(linked).select("a", "b"))
-    classes = components(written(links.distinct(), "links"))
-    per_set = written(one.join(classes.hint("merge"), "id", "left").select("n", "s1", "s2", F.col("id").alias("set_id"), F.coalesce("component", "id").alias("component_id")), "classes")
+    links = _counted(pairs, texts, one, width).where(linked).select("a", "b").unionByName(star.where(linked).select("a", "b"))
+    classes = components(written(links.distinct(), "links")).withColumnRenamed("id", "key")
+    named = written(one.join(classes.hint("merge"), "key", "left").select("n", "s1", "s2", "id", F.coalesce("component", "key").alias("component")), "classes")
+    least = written(named.groupBy("component").agg(F.min("id").alias("component_id")), "components")
+    per_set = written(named.join(least.hint("merge"), "component").select("n", "s1", "s2", F.col("id").alias("set_id"), "component_id"), "sets")
     return own.join(per_set.hint("merge"), ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"))
