@@ -50,3 +50,20 @@ def first_later(events: DataFrame, values: DataFrame, width: int = 64, levels: i
         down = step.join(nodes, same(F.col("ask"), F.col("parent")), "left").groupBy(*own, "level", "found").agg(F.first("row").alias("row"), F.min("n_node").alias("node"))
         near = down.select(*own, "row", F.when(here, F.lit(level - 1)).otherwise(F.col("level")).alias("level"), F.when(here, F.col("node")).otherwise(F.col("found")).alias("found"))
     return near.select("row.*", F.col("found").cast("int").alias("found"))
+
+
+def nearest_bars(events: DataFrame, bars: DataFrame, time: str = "time", most: int = 900) -> DataFrame:
+    """Adds to events (symbol, tf and a time) nearest, the ts_ny of the nearest bar of their series at most `most` seconds off, the earlier one of two, and seconds; both null without one.
+
+    Times meet in buckets of `most` seconds, an event in its own and the two beside it, so that a series is split over many tasks. Each row of events is one of the result, repeated ones too.
+    """
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    rows = events.withColumn("_event", F.struct(*events.columns)).groupBy("_event").agg(F.count("*").alias("_copies"))
+    asked = rows.select("_event", "_copies", *[F.col(f"_event.{c}").alias(c) for c in KEY], seconds(f"_event.{time}").alias("_at"))
+    asked = asked.withColumn("_bucket", F.explode(F.array(*[F.floor(F.col("_at") / most) + k for k in (-1, 0, 1)])))
+    there = bars.select(*KEY, F.col("ts_ny").alias("_bar"), F.floor(seconds("ts_ny") / most).alias("_bucket")).hint("merge")
+    off = F.abs(seconds("_bar") - F.col("_at"))
+    met = asked.join(there, [*KEY, "_bucket"], "left")
+    best = met.groupBy("_event", "_copies").agg(F.min(F.when(off <= most, F.struct(off.alias("off"), "_bar"))).alias("_best"))
+    out = best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return out.select("_event.*", F.col("_best._bar").alias("nearest"), F.col("_best.off").alias("seconds"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import iso_week
-from ..functions.measures import f1, percent, precision, recall
+from ..functions.measures import f1, percent, precision, recall, session_from_id
 from ..operators.sweeps import in_chunks, of_chunks
 from ..sources.store import stored
 
@@ -94,6 +94,34 @@ def scores(labels: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+def label_scores(labels: DataFrame, variants: DataFrame | None = None, *by: str) -> DataFrame:
+    """Scores of labels (detection_id, primitive, label) at four levels: over all, by primitive, by primitive and session
+    (from the id's time; all of SESSIONS, those without labels with count 0), and by primitive and variant.
+
+    `variants` (detection_id, variant) gives the variant of a detection; labels without one count at the other levels only.
+    All levels come from one pass of grouping sets.
+    """
+    named = labels.withColumn("session", session_from_id(F.col("detection_id")))
+    if variants is None:
+        named = named.withColumn("variant", F.lit(None).cast("string"))
+    else:
+        one = variants.groupBy("detection_id").agg(F.min("variant").alias("variant"))
+        named = named.join(one.hint("merge"), "detection_id", "left")
+    key = [F.col(c) for c in by]
+    sets = [key, [*key, F.col("primitive")], [*key, F.col("primitive"), F.col("session")], [*key, F.col("primitive"), F.col("variant")]]
+    columns = [*key, F.col("primitive"), F.col("session"), F.col("variant")]
+    kinds = [F.count_if(F.upper("label") == k).alias(k.lower()) for k in ("CORRECT", "NOISE", "BORDERLINE", "MISSED")]
+    has = lambda c: F.grouping(c) == 0
+    level = F.when(has("session"), "session").when(has("variant"), "variant").when(has("primitive"), "primitive").otherwise("aggregate")
+    out = named.groupingSets(sets, *columns).agg(F.count("*").alias("label_count"), *kinds, level.alias("level")).where("level <> 'variant' or variant is not null")
+    empty = out.where("level = 'primitive'").select(*by, "primitive", F.explode(F.array(*map(F.lit, SESSIONS))).alias("session")).withColumn("level", F.lit("session"))
+    join = [*by, "primitive", "session", "level"]
+    spine = empty.join(out.where("level = 'session'").drop("variant").hint("merge"), join, "left").withColumn("variant", F.lit(None).cast("string"))
+    out = out.where("level <> 'session'").unionByName(spine).fillna(0, ["label_count", "correct", "noise", "borderline", "missed"])
+    out = out.withColumns({"precision": precision(F.col("correct"), F.col("noise")), "recall": recall(F.col("correct"), F.col("missed"))})
+    return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+
+
 def outliers(weekly: DataFrame, stats: DataFrame, *by: str, deviations: float = 2.0) -> DataFrame:
     """Weeks more than so many deviations from the mean."""
     return weekly.join(stats, [*by]).where(F.abs(F.col("n") - F.col("mean")) > deviations * F.col("std"))

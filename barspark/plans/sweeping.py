@@ -1,4 +1,4 @@
-"""The registered queries on price levels and their sweeps: 15-minute bars of the events table, each ISO week a series of its own, every 24th bar a ghost."""
+"""The registered queries on price levels, their sweeps, equal levels and labels: 15-minute bars of the events table; for levels each ISO week is a series of its own, and every 24th bar a ghost."""
 
 from __future__ import annotations
 
@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import iso_week, with_tags
+from ..functions.calendar import iso_week, ny_time, with_tags
+from ..functions.measures import detection_id
 from ..operators import bars as B
+from ..operators import equal_levels, gaps, pivots, sweeps, zones
 from ..operators import levels as L
-from ..operators import pivots, sweeps, zones
 from ..operators.displacement import displacements
+from ..operators.search import nearest_bars
 from ..sources.store import stored
-from .queries import _ATR, _BARS, _DISPLACEMENT, PIP, TF, _text, bars
+from . import evaluation as E
+from .queries import _ATR, _BARS, _DISPLACEMENT, _GAPS, _SWINGS, _TICKS, PIP, TF, _swings, _text, bars, prepared, ticks
 from .queries import ORACLE_SQL as BASE_SQL
 
 _GHOST = "hour(ts_ny) % 6 = 5 AND minute(ts_ny) = 30"
@@ -81,6 +84,40 @@ def delayed_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweeps.delayed_sweeps(b, pool, at_once, TF, PIP).drop("tf", "breach_pips", "reclaim_pips")
 
 
+def equal_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = equal_levels.equal_pools(weekly(spark, sf_dir), TF, PIP)
+    return found.select("symbol", "side", "first_bar", "last_bar", F.round("level", 6).alias("level"), "touches", "pip_width", "role")
+
+
+def gated_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = B.with_atr(prepared(spark, sf_dir))
+    return _text(equal_levels.gated_pools(b, PIP).select("symbol", "side", "first_bar", "last_bar", F.round("level", 6).alias("level"), "touches", "forex_day", "window"))
+
+
+def equal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = pivots.near_prices(_swings(spark, sf_dir), 20, 5.0)
+    return equal_levels.equal_matrix(near, (0.5, 1.0, 2.0, 5.0), PIP, "symbol")
+
+
+def nearest_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each tick the nearest hourly candle within 900 seconds."""
+    t = ticks(spark, sf_dir).select("symbol", F.lit("1H").alias("tf"), "seq", ny_time(F.col("ts")).alias("time"))
+    return _text(nearest_bars(t, B.rollup(bars(spark, sf_dir), "1H")).select("symbol", F.col("seq").alias("event_id"), "nearest", "seconds"))
+
+
+def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of gaps and swings by the bar's number (the given tables hold none), those of wide gaps as a variant."""
+    g = gaps.fair_value_gaps(prepared(spark, sf_dir), TF, PIP, states=False)
+    kind = F.element_at(F.array(*map(F.lit, ("CORRECT", "NOISE", "MISSED", "BORDERLINE", "CORRECT"))), F.col("bar_index") % 5 + 1)
+    name = lambda p, time, d: F.concat(F.col("symbol"), F.lit("_"), detection_id(p, F.lit(TF), time, d))
+    labels = g.select(name("fvg", F.col("time"), F.col("direction")).alias("detection_id"), F.lit("fvg").alias("primitive"), kind.alias("label"), F.when(F.col("gap_pips") >= 20, "wide").when(F.col("gap_pips") >= 5, "plain").alias("variant"))
+    s = _swings(spark, sf_dir)
+    more = s.where("session = 'lokz'").select(name("swing", F.col("ts_ny"), F.col("side")).alias("detection_id"), F.lit("swing").alias("primitive"), kind.alias("label"), F.lit(None).cast("string").alias("variant"))
+    every = labels.unionByName(more)
+    out = E.label_scores(every.drop("variant"), every.where("variant is not null").select("detection_id", "variant"))
+    return out.select("level", "primitive", "session", "variant", "label_count", "correct", "noise", "borderline", "missed", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "level_pool": level_pool,
     "level_breaches": level_breaches,
@@ -88,6 +125,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "liquidity_sweeps": liquidity_sweeps,
     "sweep_health": sweep_health,
     "delayed_sweeps": delayed_sweeps,
+    "equal_pools": equal_pools,
+    "gated_pools": gated_pools,
+    "equal_matrix": equal_matrix,
+    "nearest_candles": nearest_candles,
+    "label_scores": label_scores,
 }
 
 _WEEKS = _BARS.replace("p AS (", "p0 AS (") + f""",
@@ -135,4 +177,39 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT gt.*, x - c1 AS reclaim, greatest(gt.wick, wick1) AS rejection FROM gt JOIN z ON z.symbol = gt.symbol AND z.side = gt.side AND z.i = gt.i
         WHERE atr IS NOT NULL AND c0 >= x AND breach BETWEEN 1.0 AND 1.5 * atr AND c1 < x AND x - c1 >= 1.0 AND greatest(gt.wick, wick1) >= 0.3 AND CASE source WHEN 'PROMOTED_SWING' THEN gt.i > at_bar AND gt.i - at_bar <= 20 AND day = bar_day ELSE ts_ny >= valid_from END)
         SELECT symbol, side, level_id, source, price, i::INT AS bar_index, round(rejection, 3) AS rejection, CASE side WHEN 'high' THEN 'bearish' ELSE 'bullish' END AS direction FROM k ANTI JOIN own USING (symbol, side, level_id) QUALIFY row_number() OVER (PARTITION BY symbol, side, level_id ORDER BY i) = 1""",
+    "equal_pools": f"""WITH RECURSIVE {_ATR.replace(_BARS, _WEEKS)}{_SWINGS[len(_BARS):]}, pv AS (SELECT s.symbol, s.i, s.side, s.price, coalesce(a.atr, 0) AS atr, greatest(5.0, 0.15 * coalesce(a.atr, 0)) AS tol, row_number() OVER (PARTITION BY s.symbol, s.side ORDER BY s.i) AS rn FROM s LEFT JOIN a ON a.symbol = s.symbol AND a.i = s.i){{0}}
+        k AS (SELECT symbol, side, first, min(i) AS first_bar, max(i) AS last_bar, avg(price) AS level, count(*) AS touches, max(price) AS top, min(price) AS bottom, arg_min(atr, i) AS atr FROM cl GROUP BY ALL HAVING count(*) >= 2)
+        SELECT k.symbol, k.side, first_bar::INT AS first_bar, last_bar::INT AS last_bar, round(level, 6) AS level, touches::INT AS touches, round(greatest(top - level, level - bottom) * 2, 2) AS pip_width, 'INTERNAL' AS role FROM k JOIN p ON p.symbol = k.symbol AND p.i > first_bar AND p.i < last_bar
+        WHERE last_bar - first_bar >= 4 GROUP BY k.symbol, k.side, first_bar, last_bar, level, touches, top, bottom, k.atr HAVING max(CASE k.side WHEN 'high' THEN level - p.low ELSE p.high - level END) >= greatest(10.0, 0.3 * k.atr)""",
+    "gated_pools": f"""WITH RECURSIVE {_ATR}, gb AS (SELECT p.*, atr, symbol || '|' || day || ':' || session AS ch FROM p LEFT JOIN a USING (symbol, i) WHERE session IN ('asia', 'pre_london', 'pre_ny')),
+        wb AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY ch) AS n FROM gb),
+        mk AS (SELECT *, max(high) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS hl, max(high) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS hr, min(low) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS ll, min(low) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS lr FROM wb WHERE n >= 5 WINDOW w AS (PARTITION BY ch ORDER BY k)),
+        sd AS (SELECT ch AS symbol, k AS i, 'high' AS side, high AS price, atr FROM mk WHERE k >= 2 AND k < n - 2 AND high >= hl AND high > hr UNION ALL SELECT ch, k, 'low', low, atr FROM mk WHERE k >= 2 AND k < n - 2 AND low <= ll AND low < lr),
+        pv AS (SELECT symbol, i, side, price, greatest(2.0, 0.1 * coalesce(atr, 3.0)) AS tol, row_number() OVER (PARTITION BY symbol, side ORDER BY i) AS rn FROM sd){{0}}
+        k AS (SELECT symbol, side, first, min(i) AS first_bar, max(i) AS last_bar, avg(price) AS level, count(*) AS touches FROM cl GROUP BY ALL HAVING count(*) >= 2)
+        SELECT split_part(symbol, '|', 1) AS symbol, side, first_bar::INT AS first_bar, last_bar::INT AS last_bar, round(level, 6) AS level, touches::INT AS touches, split_part(split_part(symbol, '|', 2), ':', 1) AS forex_day, split_part(symbol, ':', 2) AS "window" FROM k""",
+    "equal_matrix": f"""WITH {_SWINGS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY i) AS rk FROM s), d AS (SELECT x.symbol, x.side, round(abs(x.price - z.price), 2) AS pips FROM k x JOIN k z ON z.symbol = x.symbol AND z.side = x.side AND z.rk > x.rk AND z.rk < x.rk + 20 AND abs(x.price - z.price) <= 5)
+        SELECT symbol, t::DOUBLE AS tolerance, count(*) FILTER (side = 'high') AS equal_highs, count(*) FILTER (side = 'low') AS equal_lows FROM d, (SELECT unnest([0.5, 1.0, 2.0, 5.0]) AS t) WHERE pips <= t GROUP BY ALL""",
+    "nearest_candles": f"""WITH {_BARS}, c AS (SELECT symbol, date_trunc('hour', ts_ny) AS t FROM p GROUP BY ALL), e2 AS (SELECT event_type AS symbol, event_id, date_trunc('second', (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS moment FROM events),
+        x AS (SELECT e2.*, b.t AS before, n.t AS after FROM e2 ASOF LEFT JOIN c b ON b.symbol = e2.symbol AND e2.moment >= b.t ASOF LEFT JOIN c n ON n.symbol = e2.symbol AND e2.moment <= n.t),
+        y AS (SELECT *, date_diff('second', before, moment) AS db, date_diff('second', moment, after) AS da FROM x)
+        SELECT symbol, event_id, CASE WHEN coalesce(db, 9999) <= 900 AND coalesce(db, 9999) <= coalesce(da, 9999) THEN strftime(before, '%Y-%m-%d %H:%M:%S') WHEN da <= 900 THEN strftime(after, '%Y-%m-%d %H:%M:%S') END AS nearest,
+        CASE WHEN least(coalesce(db, 9999), coalesce(da, 9999)) <= 900 THEN least(coalesce(db, 9999), coalesce(da, 9999)) END AS seconds FROM y""",
+    "label_scores": f"""WITH {_GAPS}{_SWINGS[len(_BARS):]}, lb AS (SELECT 'fvg' AS primitive, i, CASE WHEN hour(t2) >= 19 THEN 'asia' WHEN hour(t2) BETWEEN 2 AND 4 THEN 'lokz' WHEN hour(t2) BETWEEN 7 AND 9 THEN 'nyokz' ELSE 'other' END AS session, CASE WHEN round(top - bottom, 2) >= 20 THEN 'wide' WHEN round(top - bottom, 2) >= 5 THEN 'plain' END AS variant FROM g
+          UNION ALL SELECT 'swing', s.i, 'lokz', NULL FROM s JOIN p ON p.symbol = s.symbol AND p.i = s.i WHERE p.session = 'lokz'),
+        q AS (SELECT *, ['CORRECT', 'NOISE', 'MISSED', 'BORDERLINE', 'CORRECT'][i % 5 + 1] AS label FROM lb),
+        c AS (SELECT CASE WHEN grouping(session) = 0 THEN 'session' WHEN grouping(variant) = 0 THEN 'variant' WHEN grouping(primitive) = 0 THEN 'primitive' ELSE 'aggregate' END AS level, primitive, session, variant, count(*) AS n, count(*) FILTER (label = 'CORRECT') AS correct, count(*) FILTER (label = 'NOISE') AS noise,
+          count(*) FILTER (label = 'BORDERLINE') AS borderline, count(*) FILTER (label = 'MISSED') AS missed FROM q GROUP BY GROUPING SETS ((), (primitive), (primitive, session), (primitive, variant))),
+        sp AS (SELECT 'session' AS level, primitive, unnest(['asia', 'lokz', 'nyokz', 'other']) AS session, NULL::VARCHAR AS variant FROM c WHERE level = 'primitive'),
+        z AS (SELECT * FROM c WHERE level <> 'session' AND NOT (level = 'variant' AND variant IS NULL) UNION ALL SELECT sp.*, coalesce(n, 0), coalesce(correct, 0), coalesce(noise, 0), coalesce(borderline, 0), coalesce(missed, 0) FROM sp LEFT JOIN c ON c.level = 'session' AND c.primitive = sp.primitive AND c.session = sp.session),
+        r AS (SELECT *, correct::DOUBLE / nullif(correct + noise, 0) AS pr, correct::DOUBLE / nullif(correct + missed, 0) AS re FROM z)
+        SELECT level, primitive, session, variant, n AS label_count, correct, noise, borderline, missed, round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / nullif(pr + re, 0), 6) AS f1 FROM r""",
 }
+#: Pivots in order, each to the first leader that has it within its tolerance; leaders are kept as a list.
+_CLUSTERS = """,
+fo(symbol, side, rn, leaders, first) AS (SELECT symbol, side, rn, [{'i': i, 'price': price, 'tol': tol}], i FROM pv WHERE rn = 1 UNION ALL
+  SELECT symbol, side, rn, CASE WHEN len(hit) > 0 THEN leaders ELSE list_append(leaders, {'i': i, 'price': price, 'tol': tol}) END, CASE WHEN len(hit) > 0 THEN hit[1].i ELSE i END
+  FROM (SELECT pv.*, leaders, list_filter(leaders, lambda x: abs(pv.price - x.price) <= x.tol) AS hit FROM fo JOIN pv ON pv.symbol = fo.symbol AND pv.side = fo.side AND pv.rn = fo.rn + 1)),
+cl AS (SELECT pv.*, fo.first FROM pv JOIN fo ON fo.symbol = pv.symbol AND fo.side = pv.side AND fo.rn = pv.rn),"""
+for _name in ("equal_pools", "gated_pools"):
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("{0}", _CLUSTERS)
