@@ -141,7 +141,16 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     drops = written(drops.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("line_no", "h1")).alias(gone_in)), "drops")
     joined = docs.join(drops.hint("shuffle_hash"), docs["doc_id"] == F.col(doc), "left")
     lines = _lines(docs["text"])
-    numbered = F.transform(lines, lambda x, k: F.struct(x.alias("raw"), F.struct(k.alias("line_no"), F.xxhash64(_trimmed(x)).alias("h1")).alias("at")))
-    kept = F.when(F.col(gone_in).isNull(), lines).otherwise(F.transform(F.filter(numbered, lambda x: ~F.array_contains(F.col(gone_in), x["at"])), lambda x: x["raw"]))
+
+    def remaining(x: Column) -> Column:
+        """The lines but for those dropped, each looked up once, so that the cost grows with the lines alone."""
+        at = lambda k: F.get(x["lines"], k)
+        # The hash tells apart rows that repeat a doc_id with another text.
+        there = F.filter(x["drops"], lambda d: F.xxhash64(_trimmed(at(d["line_no"]))).eqNullSafe(d["h1"]))
+        left = F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), F.transform(there, lambda d: d["line_no"]))
+        return F.transform(left, at)
+
+    # Bound to a name, as an expression inside of a lambda is computed for each element.
+    kept = F.when(F.col(gone_in).isNull(), lines).otherwise(F.transform(F.array(F.struct(lines.alias("lines"), F.col(gone_in).alias("drops"))), remaining)[0])
     out = [F.array_join(kept, "\n").alias("text") if c == "text" else docs[c] for c in docs.columns if c != "lines"]
     return joined.select(*out, F.struct(F.size(lines).alias("total"), (F.size(lines) - F.size(kept)).alias("dropped")).alias("lines"))
