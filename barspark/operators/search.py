@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .bars import KEY
 
 
@@ -23,33 +24,39 @@ def forward(events: DataFrame, bars: DataFrame, lookahead: int, at: str, keep: d
     return joined.groupBy("event").agg(*[c.alias(k) for k, c in keep.items()])
 
 
-def first_later(events: DataFrame, values: DataFrame, width: int = 64, levels: int = 2) -> DataFrame:
+def first_later(events: DataFrame, values: DataFrame, width: int = 64) -> DataFrame:
     """Events (unique event, symbol, tf, side, at, x, strict, and any other columns) with `found`: the first bar after `at` whose v is at most x, or below it where `strict`; null without one.
 
     `values` holds symbol, tf, side, bar_index and v. However far off that bar is, an event meets few rows: bars are
-    gathered in blocks of `width`, blocks in blocks of blocks, each with its least v. An event asks the rest of its own
-    block, then the rest of its block of blocks, and so on, and goes down again from the first block that holds a hit.
-    Every step is an equi-join on series, level and block, all with one table of blocks.
+    gathered in blocks of `width`, blocks in blocks of blocks, each with its least v, as many levels as it takes until a
+    series has no more than `width` of the topmost. An event asks the rest of its own block, then the rest of its block of
+    blocks, and so on, and goes down again from the first block that holds a hit. Every step is an equi-join on series,
+    level and block with one table of blocks, so that an event meets at most `width` rows of each level; only its name, x and strict go along.
     """
+    # Both are used once for each level.
+    events, values = stored(events, "events"), stored(values.select(*KEY, "side", "bar_index", "v"), "values")
+    largest, levels = values.agg(F.max("bar_index")).first()[0] or 0, 1
+    while width ** (levels + 1) <= largest:
+        levels += 1
     up = lambda place, level: F.floor(place / width) if level < levels else F.lit(0).cast("long")
     block = lambda column, level: F.floor(F.col(column) / width**level)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("n_level"), block("bar_index", k).alias("n_node"), up(block("bar_index", k), k).alias("n_parent")) for k in range(levels + 1)])).alias("n")
-    place = [F.col(c).alias(f"n_{c}") for c in (*KEY, "side")]
-    nodes = values.select(*place, "v", each).select(*[f"n_{c}" for c in (*KEY, "side")], "v", "n.*").groupBy(*[f"n_{c}" for c in (*KEY, "side")], "n_level", "n_parent", "n_node").agg(F.min("v").alias("v")).hint("merge")
+    names = [f"n_{c}" for c in (*KEY, "side")]
+    nodes = values.select(*[F.col(c).alias(f"n_{c}") for c in (*KEY, "side")], "v", each).select(*names, "v", "n.*").groupBy(*names, "n_level", "n_parent", "n_node").agg(F.min("v").alias("v"))
+    nodes = stored(nodes, "nodes").hint("merge")
     same = lambda level, parent: [F.col(c) == F.col(f"n_{c}") for c in (*KEY, "side")] + [level == F.col("n_level"), parent == F.col("n_parent"), (F.col("v") < F.col("x")) | ((F.col("v") == F.col("x")) & ~F.col("strict"))]
     own = ["event", *KEY, "side", "x", "strict"]
     asks = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), block("at", k).alias("own"), up(block("at", k), k).alias("parent")) for k in range(levels + 1)])).alias("a")
-    asked = events.select(*own, F.struct(*events.columns).alias("row"), asks).select(*own, "row", "a.*")
-    met = asked.join(nodes, [*same(F.col("level"), F.col("parent")), F.col("n_node") > F.col("own")], "left")
-    near = met.groupBy(*own).agg(F.first("row").alias("row"), F.min(F.when(F.col("n_node").isNotNull(), F.struct("level", F.col("n_node").alias("found")))).alias("near")).select(*own, "row", "near.*")
+    asked = events.select(*own, asks).select(*own, "a.*")
+    met = asked.join(nodes, [*same(F.col("level"), F.col("parent")), F.col("n_node") > F.col("own")])
+    near = met.groupBy(*own).agg(F.min(F.struct("level", F.col("n_node").alias("found"))).alias("near")).select(*own, "near.*")
     for level in range(levels, 0, -1):
-        # Events that are on a lower level already ask for blocks that don't exist, spread over many.
-        here = F.coalesce(F.col("level") == level, F.lit(False))
-        parent = F.when(here, F.col("found")).otherwise(-1 - F.pmod(F.xxhash64("event"), F.lit(4096)))
-        step = near.withColumns({"ask": F.lit(level - 1), "parent": parent})
-        down = step.join(nodes, same(F.col("ask"), F.col("parent")), "left").groupBy(*own, "level", "found").agg(F.first("row").alias("row"), F.min("n_node").alias("node"))
-        near = down.select(*own, "row", F.when(here, F.lit(level - 1)).otherwise(F.col("level")).alias("level"), F.when(here, F.col("node")).otherwise(F.col("found")).alias("found"))
-    return near.select("row.*", F.col("found").cast("int").alias("found"))
+        # Events that are on a lower level already are done with this step.
+        there, here = near.where(F.col("level") < level), near.where(F.col("level") == level)
+        step = here.withColumn("ask", F.lit(level - 1))
+        down = step.join(nodes, same(F.col("ask"), F.col("found"))).groupBy(*own).agg(F.min("n_node").alias("found")).withColumn("level", F.lit(level - 1))
+        near = stored(there.unionByName(down.select(there.columns)), "near")
+    return events.join(near.select("event", F.col("found").cast("int").alias("found")).hint("merge"), "event", "left").select(*events.columns, "found")
 
 
 def nearest_bars(events: DataFrame, bars: DataFrame, time: str = "time", most: int = 900) -> DataFrame:
