@@ -241,9 +241,10 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = spark.sparkContext.broadcast(levels.reshape(-1))
 
     own = summary.where("chunk is null").select("doc_id", "n", "s1", "s2")
-    # A set goes by a number of its own, as its smallest doc_id may be that of other sets, too.
+    # A set goes by a number of its own, as its smallest doc_id may be that of other sets, too. Numbers follow the order of
+    # doc_ids, so that a column's leader, its least number, is the earliest text, of which the others are likely copies.
     one = own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id")).where("id is not null")
-    one = written(one.withColumn("key", F.monotonically_increasing_id()), "representatives")
+    one = written(one.orderBy("id", "n", "s1", "s2").withColumn("key", F.monotonically_increasing_id()), "representatives")
 
     def prefixes(batches, known=known):
         return _prefixes(width, percent, known.value)(batches)
