@@ -78,6 +78,6 @@ def retracements(breaks: DataFrame, levels: tuple[float, ...] = (0.618, 0.705, 0
 def shift_retracements(shifts: DataFrame, bars: DataFrame, levels: tuple[float, ...] = (0.618, 0.705, 0.79), gate: bool = True) -> DataFrame:
     """The retracements of structure shifts with their break type, session and whether they are actionable: in lokz and nyokz alone, or anywhere without `gate`."""
     at = bars.select(*KEY, "bar_index", "close", map_session(F.col("session")).alias("session"))
-    met = shifts.join(at.hint("merge"), [*KEY, "bar_index"])
+    met = shifts.drop("close", "session").join(at.hint("merge"), [*KEY, "bar_index"])
     found = retracements(met, levels).join(met.select(*KEY, "bar_index", "direction", "break_type", "session").hint("merge"), [*KEY, "bar_index", "direction"])
     return found.withColumn("actionable", F.col("session").isin("lokz", "nyokz") | F.lit(not gate))

@@ -222,8 +222,8 @@ def weekly_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dets = detect(bars(spark, sf_dir), TF, PIP, {"swing_n": 2})
-    return E.counts(dets.where("primitive in ('fvg', 'swing', 'displacement')"), "symbol", "primitive")
+    dets = detect(bars(spark, sf_dir), TF, PIP, {"swing_n": 2}, primitives=("fvg", "swing", "displacement"))
+    return E.counts(dets, "symbol", "primitive")
 
 
 def swept_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

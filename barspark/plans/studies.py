@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import iso_week, with_tags
 from ..operators import bars as B
 from ..operators import gaps, pools, sessions, structure, zones
 from ..operators.displacement import displacements
+from ..operators.sweeps import in_chunks, of_chunks
+from . import detect, reports, search
 from . import evaluation as E
-from . import reports, search
 from .queries import _BARS, _BREAKS, _DETS, _DISPLACEMENT, _GAPS, _SWINGS, PIP, TF, _breaks, _gap_detections, _swings, _text, bars, prepared
 from .queries import ORACLE_SQL as _OTHER
 
@@ -171,7 +173,27 @@ def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.completion(blocks, found, found, "symbol")
 
 
+#: Two ways to build structure shifts and order blocks, in one run.
+BOTH = [{"mss": "shift", "order_block": "opposing"}, {"mss": "break", "order_block": "extreme"}]
+
+
+def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections by primitive, variant and direction in both variants; boxes and windows by kind."""
+    which = ("fvg", "ifvg", "swing", "displacement", "mss", "order_block", "ote", "asia_range", "session_box", "reference_level", "window")
+    found = detect.detect_all(bars(spark, sf_dir), (TF,), PIP, [{"gap_floor": 3.0}], BOTH, which)
+    return found.groupBy("symbol", "tf", "primitive", "variant", "direction").agg(F.count("*").alias("n"))
+
+
+def detect_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels and their sweeps, blocks and retracements on hours and quarters of an hour, each ISO week a series of its own: detections as they are."""
+    b = with_tags(bars(spark, sf_dir))
+    found = detect.detect_all(in_chunks(b, iso_week(F.col("forex_day"))), ("15m", "1H"), PIP, primitives=("order_block", "ote", "equal_level", "sweep"))
+    return _text(of_chunks(found).select("symbol", "chunk", "tf", "primitive", "variant", "id", "time", "direction", F.round("price", 6).alias("price"), "session", "forex_day", F.get_json_object("properties", "$.bar_index").alias("bar_index")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "detect_all": detect_all,
+    "detect_weekly": detect_weekly,
     "extreme_blocks": extreme_blocks,
     "level_pools": level_pools,
     "window_events": window_events,
@@ -283,3 +305,10 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT *, coalesce(correct::DOUBLE / nullif(correct + noise, 0), 0) + coalesce(correct::DOUBLE / nullif(correct + missed, 0), 0) AS score FROM n) SELECT symbol, floor, correct, noise, missed, round(score, 6) AS score, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, floor)::INT AS rank FROM s""",
     "completion": f"""SELECT o.symbol, count(*) AS total, count(b.symbol) AS complete, count(*) - count(b.symbol) AS incomplete FROM ({_OTHER["order_blocks"]}) o LEFT JOIN (SELECT * FROM ({_OTHER["structure_breaks"]}) WHERE break_type = 'CHoCH') b ON b.symbol = o.symbol AND b.bar_index = o.bar_index AND b.direction = o.direction GROUP BY o.symbol""",
 }
+_PARTS = {
+    "fvg": ("''", "direction", _OTHER["fvg"]), "ifvg": ("''", "direction", f"SELECT * FROM ({_OTHER['fvg']}) WHERE boundary_closed_bar IS NOT NULL"), "swing": ("''", "side", _OTHER["swings"]), "displacement": ("''", "direction", _OTHER["displacement"]),
+    "mss": ("'shift'", "direction", _OTHER["structure_shifts"]), "mss ": ("'break'", "direction", _OTHER["structure_breaks"]), "order_block": ("'opposing'", "direction", _OTHER["shift_blocks"]), "order_block ": ("'extreme'", "direction", ORACLE_SQL["extreme_blocks"]),
+    "ote": ("'shift'", "direction", _OTHER["shift_retracements"]), "ote ": ("'break'", "direction", _OTHER["retracements"]), "asia_range": ("''", "'neutral'", _OTHER["asia_range"]), "session_box": ("''", "lower(box)", _OTHER["session_boxes"]), "reference_level": ("''", "'neutral'", _OTHER["reference_levels"]),
+    "window": ("''", '"window" || \'_\' || kind || \'_\' || subtype', ORACLE_SQL["window_events"]),
+}
+ORACLE_SQL["detect_all"] = " UNION ALL ".join(f"SELECT symbol, '15m' AS tf, '{k.strip()}' AS primitive, {variant} AS variant, {direction} AS direction, count(*) AS n FROM ({sql}) GROUP BY ALL" for k, (variant, direction, sql) in _PARTS.items())
