@@ -22,9 +22,9 @@ from .queries import ORACLE_SQL as BASE_SQL
 _GHOST = "hour(ts_ny) % 6 = 5 AND minute(ts_ny) = 30"
 
 
-def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekly(spark: SparkSession, sf_dir: str, ghosts: bool = True) -> DataFrame:
     """Bars with ATR, by week."""
-    b = with_tags(bars(spark, sf_dir).withColumn("is_ghost", F.expr(_GHOST)))
+    b = with_tags(bars(spark, sf_dir).withColumn("is_ghost", F.expr(_GHOST if ghosts else "false")))
     return stored(B.with_atr(sweeps.in_chunks(b, iso_week(F.col("forex_day")))), "weekly")
 
 
@@ -86,7 +86,7 @@ def delayed_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def equal_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = equal_levels.equal_pools(weekly(spark, sf_dir), TF, PIP)
-    return found.select("symbol", "side", "first_bar", "last_bar", F.round("level", 6).alias("level"), "touches", "pip_width", "role")
+    return found.select("symbol", "side", "first_bar", "last_bar", F.round("level", 6).alias("level"), "touches", "role")
 
 
 def gated_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +179,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT symbol, side, level_id, source, price, i::INT AS bar_index, round(rejection, 3) AS rejection, CASE side WHEN 'high' THEN 'bearish' ELSE 'bullish' END AS direction FROM k ANTI JOIN own USING (symbol, side, level_id) QUALIFY row_number() OVER (PARTITION BY symbol, side, level_id ORDER BY i) = 1""",
     "equal_pools": f"""WITH RECURSIVE {_ATR.replace(_BARS, _WEEKS)}{_SWINGS[len(_BARS):]}, pv AS (SELECT s.symbol, s.i, s.side, s.price, coalesce(a.atr, 0) AS atr, greatest(5.0, 0.15 * coalesce(a.atr, 0)) AS tol, row_number() OVER (PARTITION BY s.symbol, s.side ORDER BY s.i) AS rn FROM s LEFT JOIN a ON a.symbol = s.symbol AND a.i = s.i){{0}}
         k AS (SELECT symbol, side, first, min(i) AS first_bar, max(i) AS last_bar, avg(price) AS level, count(*) AS touches, max(price) AS top, min(price) AS bottom, arg_min(atr, i) AS atr FROM cl GROUP BY ALL HAVING count(*) >= 2)
-        SELECT k.symbol, k.side, first_bar::INT AS first_bar, last_bar::INT AS last_bar, round(level, 6) AS level, touches::INT AS touches, round(greatest(top - level, level - bottom) * 2, 2) AS pip_width, 'INTERNAL' AS role FROM k JOIN p ON p.symbol = k.symbol AND p.i > first_bar AND p.i < last_bar
+        SELECT k.symbol, k.side, first_bar::INT AS first_bar, last_bar::INT AS last_bar, round(level, 6) AS level, touches::INT AS touches, 'INTERNAL' AS role FROM k JOIN p ON p.symbol = k.symbol AND p.i > first_bar AND p.i < last_bar
         WHERE last_bar - first_bar >= 4 GROUP BY k.symbol, k.side, first_bar, last_bar, level, touches, top, bottom, k.atr HAVING max(CASE k.side WHEN 'high' THEN level - p.low ELSE p.high - level END) >= greatest(10.0, 0.3 * k.atr)""",
     "gated_pools": f"""WITH RECURSIVE {_ATR}, gb AS (SELECT p.*, atr, symbol || '|' || day || ':' || session AS ch FROM p LEFT JOIN a USING (symbol, i) WHERE session IN ('asia', 'pre_london', 'pre_ny')),
         wb AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY ch) AS n FROM gb),

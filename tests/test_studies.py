@@ -7,14 +7,29 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, _rows, db  # noqa: F401
 
+from barspark.operators import equal_levels, levels, pivots, sweeps
+from barspark.operators.displacement import displacements
 from barspark.operators.search import first_later
 from barspark.plans import evaluation as E
+from barspark.plans import detect, sweeping
 from barspark.plans.studies import ORACLE_SQL, QUERIES
 
 
 def test_all_have_sql():
-    # The grouping of pools is greedy in time; see test_pools.py.
-    assert set(QUERIES) - set(ORACLE_SQL) == {"level_pools"}
+    # The grouping of pools is greedy in time; see test_pools.py. Sweeps, which detect_weekly holds, are in test_sweeps.py.
+    assert set(QUERIES) - set(ORACLE_SQL) == {"level_pools", "detect_weekly"}
+
+
+def test_all_detectors_hold_the_sweeps(spark):
+    """What the run over all detectors gives equals the sweeps by themselves."""
+    b = sweeping.weekly(spark, SF, ghosts=False)
+    found = detect.detect_all(b.select("symbol", "ts", "ts_ny", "open", "high", "low", "close", "volume", "is_ghost"), ("15m",), 1.0, primitives=("equal_level", "sweep"))
+    n = {r.primitive: r.n for r in found.groupBy("primitive").agg(F.count("*").alias("n")).collect()}
+    d = displacements(b, 1.0).where("(atr_exact >= 1.5 AND body_exact >= 0.6) OR decisive")
+    pool = levels.level_pool(levels.gathered(b, pivots.swings(b, 2, 20, 1.0), 1.0), 1.0, "15m")
+    assert n == {"sweep": sweeps.liquidity_sweeps(b, pool, d, "15m", 1.0).count(), "equal_level": equal_levels.equal_pools(b, "15m", 1.0).count()}
+    with pytest.raises(ValueError, match="no variant"):
+        detect.detect(b, "15m", 1.0, variants={"mss": "other"})
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -39,8 +54,8 @@ def test_first_later_against_a_loop(spark, strict):
         hits = [r[3] for r in rows if r[3] > at and (r[4] < x if strict else r[4] <= x)]
         if hits:
             expect[e] = hits[0]
-    for width, levels in ((4, 2), (8, 3), (64, 2)):
-        assert {r.event: r.found for r in first_later(asked, values, width, levels).collect()} == {e[0]: expect.get(e[0]) for e in events}
+    for width in (4, 64):
+        assert {r.event: r.found for r in first_later(asked, values, width).collect()} == {e[0]: expect.get(e[0]) for e in events}
 
 
 def test_month_windows(spark):
