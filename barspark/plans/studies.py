@@ -173,6 +173,26 @@ def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.completion(blocks, found, found, "symbol")
 
 
+#: The space of the search: thresholds of displacements, whether decisive bars count at any threshold, and which way they point.
+SPACE = {
+    "displacement.ltf.atr_multiplier": {"type": "numeric", "base": 1.5, "min": 1.0, "max": 3.0, "step": 0.05},
+    "displacement.ltf.body_ratio": {"type": "numeric", "base": 0.60, "min": 0.40, "max": 0.85},
+    "displacement.override": {"type": "boolean", "base": True},
+    "displacement.toward": {"type": "categorical", "base": "both", "options": ["both", "bullish", "bearish"]},
+}
+
+
+def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 perturbed sets over all displacements, whose labels go by the bar's number, as the given tables hold none."""
+    d = displacements(B.with_atr(prepared(spark, sf_dir)), PIP)
+    kind = F.element_at(F.array(*map(F.lit, ("CORRECT", "NOISE", "MISSED", "BORDERLINE", "CORRECT"))), F.col("bar_index") % 5 + 1)
+    names = dict(zip(sorted(SPACE), ("atr", "body", "override", "toward"), strict=True))
+    of = lambda path, c: F.max(F.when(F.col("path") == path, F.col(c))).alias(names[path])
+    sets = search.perturbed(spark, SPACE, 40, 7).groupBy("iteration").agg(*[of(p, "choice" if SPACE[p]["type"] == "categorical" else "value") for p in sorted(SPACE)])
+    found = search.searched(d.withColumn("label", kind), sets, "symbol").join(sets.hint("merge"), "iteration")
+    return found.select("symbol", "iteration", F.round("atr", 6).alias("atr"), F.round("body", 6).alias("body"), F.col("override").cast("int").alias("override"), "toward", "correct", "noise", "missed", *[F.round(c, 6).alias(c) for c in ("score", "gain")], "kept", "rank")
+
+
 #: Two ways to build structure shifts and order blocks, in one run.
 BOTH = [{"mss": "shift", "order_block": "opposing"}, {"mss": "break", "order_block": "extreme"}]
 
@@ -192,6 +212,7 @@ def detect_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "random_search": random_search,
     "detect_all": detect_all,
     "detect_weekly": detect_weekly,
     "extreme_blocks": extreme_blocks,
@@ -312,3 +333,16 @@ _PARTS = {
     "window": ("''", '"window" || \'_\' || kind || \'_\' || subtype', ORACLE_SQL["window_events"]),
 }
 ORACLE_SQL["detect_all"] = " UNION ALL ".join(f"SELECT symbol, '15m' AS tf, '{k.strip()}' AS primitive, {variant} AS variant, {direction} AS direction, count(*) AS n FROM ({sql}) GROUP BY ALL" for k, (variant, direction, sql) in _PARTS.items())
+_U = "(('0x' || substr(md5('7:' || it || ':{0}:{1}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+_MOVE = "(1.0::DOUBLE + CASE WHEN {1} < 0.5 THEN -1.0 ELSE 1.0 END::DOUBLE * (0.10::DOUBLE + 0.10::DOUBLE * {0}))"
+_moved = lambda path, base: f"{base}::DOUBLE * " + _MOVE.format(_U.format(path, 0), _U.format(path, 1))
+_A, _B, _O, _T = sorted(SPACE)
+ORACLE_SQL["random_search"] = f"""WITH RECURSIVE {_DISPLACEMENT}, it AS (SELECT unnest(range(0, 40))::INT AS it),
+    mv AS (SELECT it, greatest(1.0, least(3.0, {_moved(_A, 1.5)}))::DOUBLE AS m, greatest(0.40, least(0.85, {_moved(_B, 0.60)}))::DOUBLE AS body, {_U.format(_O, 0)} < 0.5 AS override, ['both', 'bullish', 'bearish'][floor({_U.format(_T, 0)} * 3)::INT + 1] AS toward FROM it),
+    st AS (SELECT it AS iteration, CASE WHEN it = 0 THEN 1.5 ELSE greatest(1.0, least(3.0, 1.0::DOUBLE + round_even((m - 1.0) / 0.05::DOUBLE, 0) * 0.05::DOUBLE)) END::DOUBLE AS atr, CASE WHEN it = 0 THEN 0.60 ELSE body END::DOUBLE AS body, it = 0 OR override AS override, CASE WHEN it = 0 THEN 'both' ELSE toward END AS toward FROM mv),
+    lb AS (SELECT symbol, am, bo, decisive, CASE WHEN up THEN 'bullish' ELSE 'bearish' END AS direction, ['CORRECT', 'NOISE', 'MISSED', 'BORDERLINE', 'CORRECT'][i % 5 + 1] AS label FROM f WHERE am >= 1.0 OR bo >= 0.55 OR decisive),
+    ct AS (SELECT symbol, iteration, atr, body, override, toward, count(*) FILTER (hit AND label = 'CORRECT') AS correct, count(*) FILTER (hit AND label = 'NOISE') AS noise, count(*) FILTER (hit AND label = 'MISSED') AS missed
+      FROM (SELECT *, ((am >= atr AND bo >= body) OR (decisive AND override)) AND toward IN ('both', direction) AS hit FROM lb, st) GROUP BY ALL),
+    sc AS (SELECT *, coalesce(correct::DOUBLE / nullif(correct + noise, 0), 0) + coalesce(correct::DOUBLE / nullif(correct + missed, 0), 0) AS score FROM ct),
+    gn AS (SELECT *, score - max(score) FILTER (iteration = 0) OVER (PARTITION BY symbol) AS gain FROM sc)
+    SELECT symbol, iteration, round(atr, 6) AS atr, round(body, 6) AS body, override::INT AS override, toward, correct, noise, missed, round(score, 6) AS score, round(gain, 6) AS gain, gain > 0 AS kept, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, iteration) AS rank FROM gn"""
