@@ -14,11 +14,12 @@ The bitmap has a fixed size and only false hits, which the sums sort out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import written
@@ -36,6 +37,20 @@ _SHARDS = "shard long, lang string, words array<string>, counts array<long>, tex
 _INDEX = "shard long, lang string, ids binary, forward binary, backward binary"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def _few_rows(spark: SparkSession, n: int = 4) -> Iterator[None]:
+    """While an index's rows, of some MB each, go to Python: few of them at a time."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 class _Shard:
     """Words of one language, until they are many enough."""
 
@@ -274,11 +289,12 @@ def collocations(docs: DataFrame, least: int = 30, best: int = 2000) -> DataFram
     parts = (numbered.agg(F.max(F.shiftright("id", 33))).first()[0] or 0) + 1
     small = F.col("id").bitwiseAND((1 << 33) - 1) * parts + F.shiftright("id", 33) + 1
     vocabulary = written(numbered.withColumn("id", F.when(small < 1 << 31, small).otherwise(F.raise_error(F.lit("too many words for ids of 32 bits")))), "vocabulary")
-    index = written(indexed(dealt, vocabulary), "index")
-
     bitmaps, levels = [], []
+    with _few_rows(spark):
+        index = written(indexed(dealt, vocabulary), "index")
     for length in range(2, LONGEST + 1):
-        levels.append(_frequent(index, length, least, bitmaps))
+        with _few_rows(spark):
+            levels.append(_frequent(index, length, least, bitmaps))
         if length < LONGEST:
             bitmaps.append(spark.sparkContext.broadcast(_bitmap(levels[-1])))
 
