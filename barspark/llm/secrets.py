@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import unused
+from .store import unused, written
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -140,19 +140,22 @@ def secret_spans(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     """
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     told = F.col("text").rlike(f"{ASSIGN}|AKIA|[0-9a-f]{{{LEAST_HEX}}}") | (F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0)
-    ratios = train(docs.select(text.alias("text")).where(told).withColumn("base", base_spans(F.col("text"))))
+    ratios = train(written(docs.select(text.alias("text")).where(told).withColumn("base", base_spans(F.col("text"))), "samples"))
     base = base_spans(text)
     bare = lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "end", "value")])
     if ratios is None:
         return docs.withColumn("spans", F.transform(base, bare))
     token = TOKEN % LEAST_TOKEN
-    likely = F.filter(_spans(text, token, 3), lambda x: x["held"].rlike("[A-Za-z]") & (_ratio(x["held"], ratios) >= prior))
+    random = lambda run: run.rlike("[A-Za-z]") & (_ratio(run, ratios) >= prior)
+    # Most texts hold none; only the others are searched for places.
+    some = F.exists(F.regexp_extract_all(text, F.lit(token), F.lit(0)), random)
+    likely = F.filter(_spans(text, token, 3), lambda x: random(x["held"]))
     apart = lambda spans, base: _let(
         F.struct(F.transform(base, lambda b: b["start"]).alias("starts"), _running(F.transform(base, lambda b: b["end"]), F.lit(0), lambda m, end: F.greatest(m, end)).alias("reach")),
         lambda at: F.filter(spans, lambda x: ~_overlaps(x, at["starts"], at["reach"])),
     )
     held, more = unused(docs, "base"), unused(docs, "likely")
-    found = docs.select("*", base.alias(held), _where(text.rlike(token), likely).alias(more))
+    found = docs.select("*", base.alias(held), _where(some, likely).alias(more))
     kept = F.when(F.size(more) > 0, apart(F.col(more), F.col(held))).otherwise(F.col(more))
     return found.withColumn("spans", F.array_sort(F.transform(F.concat(held, kept), bare))).drop(held, more)
 
